@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.native import LOWER, UPPER, let, non_null, window_hashes
+from corvane.llm.store import Tables, join_checked
 
 #: Characters that separate words once A-Z are lower case.
 OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -88,8 +89,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_br
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_hit_pct: int = 0, max_broadcast_mb: int = 256) -> DataFrame:
     """Documents, all columns, of which at most max_hit_pct per cent of the words are hit."""
     bad = contamination(docs, benchmark, width, max_broadcast_mb).where(100 * F.col("n_hit") > max_hit_pct * F.col("n_words"))
-    bad = bad.select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    bad = Tables(docs.sparkSession, "decontamination").write(bad.select(F.col("doc_id").alias("bad_id")).distinct(), "bad")
+    return join_checked(docs, bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti", bad.count())
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
