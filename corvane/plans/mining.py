@@ -135,15 +135,15 @@ def run_summary(spark, sf_dir) -> DataFrame:
     return cluster.run_summary(history, placed, limit, 0.0)
 
 
-_JUMP = f"""{I.PRICES}, s AS (SELECT day, round(price / 1000, 6) AS x FROM prices),
+_JUMP = f"""{I.PRICES}, s AS (SELECT day, price AS x FROM prices),
 w AS (SELECT day, x, row_number() OVER (ORDER BY day) AS k, lag(x) OVER (ORDER BY day) AS last, quantile_cont(x, 0.5) OVER (ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS m FROM s)"""
 
 
-@query(f"WITH {_JUMP} SELECT day::VARCHAR AS day, x, round(m, 9) AS trailing_median, coalesce(k > 30 AND x > m * 1.75e0 AND x - last > 0.1e0, false) AS jump FROM w")
+@query(f"WITH {_JUMP} SELECT day::VARCHAR AS day, round(x, 6) AS x, round(m, 6) AS trailing_median, coalesce(k > 30 AND x > m * 1.75e0 AND x - last > 0.1e0, false) AS jump FROM w")
 def jump_flags(spark, sf_dir) -> DataFrame:
-    series = I.prices(spark, sf_dir).select("day", F.round(F.col("price") / 1000, 6).alias("x"))
+    series = I.prices(spark, sf_dir).select("day", F.col("price").alias("x"))
     flags = cluster.jump_flags(series, "x", "day")
-    return flags.withColumns({"day": F.col("day").cast("string"), "trailing_median": F.round("trailing_median", 9)})
+    return flags.withColumns({"day": F.col("day").cast("string"), "x": F.round("x", 6), "trailing_median": F.round("trailing_median", 6)})
 
 
 @query(f"WITH {I.PRICES}, w AS (SELECT day, row_number() OVER (ORDER BY day) AS step, price FROM prices) SELECT step, (5000 - step)::BIGINT AS active_clusters, round(sum(price) OVER (ORDER BY step) / (5000 - step), 6) AS global_avg_dist FROM w")
