@@ -145,7 +145,7 @@ class PrefixEncoder:
     def _fit(self, a: str, b: str) -> bool:
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) >= 600_000:  # some 100 MB a worker
                 self.pairs.clear()
             ok = self.pairs[a, b] = self.merge(a + b) == [a, b]
         return ok
@@ -213,7 +213,7 @@ class PrefixEncoder:
 class Codec:
     """Encodes and decodes batches of texts; words stay known from batch to batch within a bound."""
 
-    def __init__(self, model: Model, known: int = 400_000):
+    def __init__(self, model: Model, known: int = 250_000):
         self.m, self.encoder, self.known = model, PrefixEncoder(model), known
         self.words: dict[str, array] = {}
 
