@@ -15,14 +15,14 @@ The recurring templates are broadcast up to `max_broadcast` of them (16 bytes ea
 shuffle join.
 
 Defined results: null text counts as empty and comes back as null; a text all of whose lines are dropped becomes
-empty, its row stays; lines are split at \\n only and kept lines are unchanged; rows without an id never hold a
-template's kept line unless no row with an id has it; repeated rows give repeated results.
+empty, its row stays; lines are split at \\n only and kept lines are unchanged; rows without an id keep their lines; repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ class TreeParams:
 
 
 class Templates:
-    """The templates of a line, as signed 64-bit hashes."""
+    """The templates of lines, as signed 64-bit hashes; all lines of a part of a batch are hashed together."""
 
     def __init__(self, p: TreeParams):
         self.p = p
@@ -59,47 +59,67 @@ class Templates:
     def _token(raw: str) -> int:
         return WILD if any(map(str.isdigit, raw)) else xxhash.xxh3_64_intdigest(raw)
 
-    def __call__(self, line: str) -> np.ndarray:
-        tokens = line.split()
-        n, p = len(tokens), self.p
-        if n < p.min_tokens:
-            return np.zeros(0, np.int64)
-        x = np.fromiter((self.ids[t] for t in tokens), np.uint64, n)
-        while n > len(self.odd):
+    def __call__(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(templates, index of the line that each belongs to)."""
+        p = self.p
+        tokens = [line.split() for line in lines]
+        at = np.array([k for k, t in enumerate(tokens) if len(t) >= p.min_tokens], np.int64)
+        if not len(at):
+            return np.zeros(0, np.int64), at
+        n = np.array([len(tokens[k]) for k in at])
+        start, total = np.cumsum(n) - n, int(n.sum())
+        x = np.zeros(total + 1, np.uint64)  # one more, for cuts at the end
+        x[:-1] = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(tokens[k] for k in at)), np.uint64, total)
+        while n.max() > len(self.odd):
             self.odd = np.concatenate([self.odd, self.odd * np.uint64(0xD6E8FEB86659FD93)])
-        x = (x ^ (x >> np.uint64(31))) * self.odd[:n]
-        x ^= x >> np.uint64(29)
-        whole = x.sum(dtype=np.uint64)
-        keys = [whole]
-        kinds = [0]
-        if n >= p.min_general:
-            cuts = p.lead + (np.arange(p.blocks) * (n - p.lead)) // p.blocks
-            keys += list(whole - np.add.reduceat(x, cuts))
-            kinds += range(1, p.blocks + 1)
-        h = np.array(keys, np.uint64) ^ (np.array(kinds, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n))
+        x[:-1] = (x[:-1] ^ (x[:-1] >> np.uint64(31))) * self.odd[np.arange(total) - np.repeat(start, n)]
+        x[:-1] ^= x[:-1] >> np.uint64(29)
+        whole = np.add.reduceat(x[:-1], start)
+        wide = np.flatnonzero(n >= p.min_general)
+        parts = [self._finish(whole, n, 0)]
+        if len(wide):
+            size = (n[wide] - p.lead)[:, None]
+            cuts = start[wide][:, None] + p.lead + np.arange(p.blocks + 1) * size // p.blocks
+            runs = np.add.reduceat(x, cuts.ravel()).reshape(cuts.shape)
+            parts += [self._finish(whole[wide] - runs[:, k], n[wide], k + 1) for k in range(p.blocks)]
+        return np.concatenate(parts), np.concatenate([at, *[at[wide]] * (len(parts) - 1)])
+
+    @staticmethod
+    def _finish(h: np.ndarray, n: np.ndarray, kind: int) -> np.ndarray:
+        h = h ^ (n.astype(np.uint64) + np.uint64(kind) * np.uint64(0xC2B2AE3D27D4EB4F))
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0x165667B19E3779F9)
         return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
+def _in_parts(texts: list, most: int = 500_000) -> Iterator[tuple[int, list]]:
+    """(index of the first, texts) of runs of about `most` characters, so that memory does not follow the batch."""
+    first = size = 0
+    for k, t in enumerate(texts):
+        size += len(t) if t else 0
+        if size >= most:
+            yield first, texts[first : k + 1]
+            first, size = k + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
+
+
 def _templates_of(rows: DataFrame, p: TreeParams) -> DataFrame:
     """(sig, text hash, id) once for each distinct template of a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Templates(p)
         for b in batches:
-            sigs, texts, at = [], [], []
-            for k, t in enumerate(b.column("text").to_pylist()):
-                if not t:
-                    continue
-                found = [s for line in set(t.split("\n")) if len(s := tree(line))]
-                if found:
-                    s = np.unique(np.concatenate(found))
-                    sigs.append(s)
-                    texts.append(np.full(len(s), xxhash.xxh3_64_intdigest(t), np.uint64).view(np.int64))
-                    at.append(np.full(len(s), k))
-            if sigs:
-                ids = b.column("doc_id").take(pa.array(np.concatenate(at)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(texts)), ids], names=["sig", "text", "doc_id"])
+            for first, texts in _in_parts(b.column("text").to_pylist()):
+                lines = [t.split("\n") if t else [] for t in texts]
+                sig, line = tree(list(chain.from_iterable(lines)))
+                if len(sig):
+                    owner = np.repeat(np.arange(len(texts)), [len(x) for x in lines])[line]
+                    order = np.lexsort((sig, owner))
+                    sig, owner = sig[order], owner[order]
+                    new = np.r_[True, (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])]
+                    sig, owner = sig[new], owner[new]
+                    text = np.array([xxhash.xxh3_64_intdigest(t or "") for t in texts], np.uint64).view(np.int64)[owner]
+                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(text), b.column("doc_id").take(pa.array(owner + first))], names=["sig", "text", "doc_id"])
 
     return rows.mapInArrow(run, f"sig bigint, text bigint, doc_id {rows.schema['doc_id'].dataType.simpleString()}")
 
@@ -116,22 +136,28 @@ def _dropping(rows: DataFrame, p: TreeParams, lookup: Callable[[], tuple[np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Templates(p)
-        sig, first = lookup()
+        known, holder = lookup()
         for b in batches:
             texts, total, gone = [], [], []
-            for t, own in zip(b.column("_text").to_pylist(), b.column("_id").to_pylist(), strict=True):
-                lines = t.split("\n") if t else []
-                kept = []
-                for line in lines:
-                    s = tree(line)
-                    at = np.searchsorted(sig, s) if len(s) and len(sig) else s[:0]
-                    at = np.minimum(at, len(sig) - 1)
-                    hit = sig[at] == s[: len(at)] if len(at) else np.zeros(0, bool)
-                    if not any(own is None or first[k] != own for k in at[hit]):
-                        kept.append(line)
-                total.append(len(lines))
-                gone.append(len(lines) - len(kept))
-                texts.append(t if len(kept) == len(lines) else "\n".join(kept))
+            ids = b.column("_id").to_pylist()
+            for first, part in _in_parts(b.column("_text").to_pylist()):
+                lines = [t.split("\n") if t else [] for t in part]
+                sig, line = tree(list(chain.from_iterable(lines)))
+                drop = set()
+                if len(sig) and len(known):
+                    at = np.minimum(np.searchsorted(known, sig), len(known) - 1)
+                    owner = np.repeat(np.arange(len(part)), [len(x) for x in lines])
+                    for k in np.flatnonzero(known[at] == sig):
+                        own, held = ids[first + owner[line[k]]], holder[at[k]]
+                        if own is not None and held is not None and own != held:
+                            drop.add(int(line[k]))
+                here = 0
+                for t, ls in zip(part, lines, strict=True):
+                    kept = [x for k, x in enumerate(ls, here) if k not in drop] if drop else ls
+                    here += len(ls)
+                    total.append(len(ls))
+                    gone.append(len(ls) - len(kept))
+                    texts.append(t if len(kept) == len(ls) else "\n".join(kept))
             rest = [n for n in b.schema.names if n not in ("_text", "_id")]
             cols = [b.column(n) for n in rest] + [pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*rest, "_clean", "_lines", "_gone"])
@@ -173,7 +199,8 @@ def _dropping_own(rows: DataFrame, p: TreeParams) -> DataFrame:
             for pair in pairs:
                 t, bad = pair["t"], set(pair["s"] or ())
                 lines = t.split("\n") if t else []
-                kept = [x for x in lines if not bad or bad.isdisjoint(tree(x).tolist())]
+                drop = {int(k) for s, k in zip(*tree(lines), strict=True) if s in bad} if bad else ()
+                kept = [x for k, x in enumerate(lines) if k not in drop]
                 out["_clean"].append(t if len(kept) == len(lines) else "\n".join(kept))
                 out["_lines"].append(len(lines))
                 out["_gone"].append(len(lines) - len(kept))
