@@ -86,7 +86,7 @@ class Templates:
 
     @staticmethod
     def _finish(h: np.ndarray, n: np.ndarray, kind: int) -> np.ndarray:
-        h = h ^ (n.astype(np.uint64) + np.uint64(kind) * np.uint64(0xC2B2AE3D27D4EB4F))
+        h = h ^ (n.astype(np.uint64) + np.uint64(kind * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF))
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0x165667B19E3779F9)
         return (h ^ (h >> np.uint64(29))).view(np.int64)
 
