@@ -1 +1 @@
-
+"""Sessions, sources and sinks."""

@@ -1 +1 @@
-
+"""No operator here keeps streaming state: all supported pipelines are batch."""
