@@ -8,11 +8,12 @@ The product is never formed in full. Size-derived bounds cut it down before and
    map chunk. In prose most rows end here.
 2. Columns. Among the surviving rows the n-grams are ordered by document frequency, rarest first. Two linked rows
    share one of the first live(n) - need(n) + 1 live n-grams of each, so only those columns are multiplied.
-3. Entries. For every column the first product is taken with its pivot row only (a star, not all pairs). Pairs
-   accumulate their number of shared columns; pairs whose sizes, positions and counts cannot reach the threshold
-   are discarded; the rest is decided by the exact overlap of the two whole sets. Links give components.
-4. Rest. A column whose rows are all in one component is finished. In the others every pair of different
-   components is still to be decided: rows outside the column's largest component against all of its rows.
+3. Stars. A column is first multiplied with its pivot row only, not with itself. Pairs whose sizes and positions in
+   the column bound their overlap below the threshold are discarded; the overlap of the others is accumulated over
+   their whole sets, which decides them exactly. Links give components. `stars` rounds of this, with
+   other pivots each, and only over columns whose rows are not yet in one component.
+4. Rest. In the columns that remain open every pair of different components is decided in the same way: rows outside
+   the column's largest component against all of its rows, each pair in the first column that it shares.
 
 So a group of k near copies costs about k exact checks, not k squared, and no link between different components is
 lost. Components are found by alternating large and small stars over written tables; nothing of a size that grows
@@ -47,8 +48,9 @@ class JaccardParams:
     width: int = 5
     num: int = 4
     den: int = 5
-    chunk: int = 1_500_000
+    chunk: int = 800_000
     block: int = 1_000_000
+    stars: int = 6
 
     def need(self, n: str) -> str:
         """SQL for the overlap that a row of n needs with any partner."""
@@ -62,7 +64,7 @@ class GramSets:
     """Sorted distinct 64-bit hashes of a text's n-grams of words; a shorter text is one n-gram."""
 
     def __init__(self, width: int):
-        self.width, self.ids = width, Memo(xxhash.xxh3_64_intdigest, 500_000)
+        self.width, self.ids = width, Memo(xxhash.xxh3_64_intdigest, 300_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else ()
@@ -102,7 +104,7 @@ def _digest(grams: np.ndarray) -> int:
 
 def live_counts(rows: DataFrame, p: JaccardParams, total: int) -> DataFrame:
     """cls, live: at least as many as the n-grams of the class that another class has too."""
-    blocks = max(16, min(65_536, total // p.block + 1)) * 4
+    blocks = max(512, min(65_536, total // p.block + 1) * 4)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, seen, held, size = GramSets(p.width), set(), [], 0
@@ -129,8 +131,10 @@ def live_counts(rows: DataFrame, p: JaccardParams, total: int) -> DataFrame:
                     yield _live(np.frombuffer(cls, np.int64), np.frombuffer(times, np.uint32))
                 else:
                     parts.setdefault(block, []).append((gram, cls, times, mark))
-        for k in list(parts):
-            yield _count_block(parts.pop(k))
+        if parts:
+            done = [_count_block(parts.pop(k)) for k in list(parts)]
+            names, where = np.unique(np.concatenate([d[0] for d in done]), return_inverse=True)
+            yield _live(names, np.bincount(where, np.concatenate([d[1] for d in done])))
 
     sent = rows.mapInArrow(split, "block int, gram binary, cls binary, times binary, mark binary")
     each = sent.repartition(max(2, blocks // 4), "block").mapInArrow(count, "cls bigint, live int")
@@ -187,7 +191,8 @@ def _blocks(held: list[tuple[int, np.ndarray]], blocks: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "gram", "cls", "times", "mark"])
 
 
-def _count_block(parts: list[tuple]) -> pa.RecordBatch:
+def _count_block(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of one block and how many of their n-grams are live."""
     h = _unpack([x[0] for x in parts])
     cls = np.repeat(np.frombuffer(b"".join(x[1] for x in parts), np.int64), np.frombuffer(b"".join(x[2] for x in parts), np.uint32))
     marks = np.unique(_unpack([x[3] for x in parts]))
@@ -201,8 +206,7 @@ def _count_block(parts: list[tuple]) -> pa.RecordBatch:
             near = np.minimum(np.searchsorted(marks, h[first]), len(marks) - 1)
             live |= marks[near] == h[first]
         cls = cls[np.repeat(live, last - first + 1)]
-    names, times = np.unique(cls, return_counts=True)
-    return _live(names, times)
+    return np.unique(cls, return_counts=True)
 
 
 def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
@@ -234,11 +238,65 @@ def _columns(grams: DataFrame, p: JaccardParams) -> DataFrame:
     return row.select("cls", "n", "live", F.posexplode(F.expr("slice(order, 1, live - need + 1)")).alias("pos", "x")).select("cls", "n", "live", "pos", F.col("x.h").alias("h"))
 
 
-def _bounded(pairs: DataFrame, p: JaccardParams) -> DataFrame:
-    """Pairs of one column whose sizes and positions allow a link, once each, with the number of columns they share."""
-    most = "least(pos, qos) + 1 + least(live - pos, mive - qos) - 1"
-    fits = pairs.where(p.linked("least(n, m)", "n", "m")).where(p.linked(f"({most})", "n", "m"))
-    return fits.groupBy(F.least("cls", "dls").alias("a"), F.greatest("cls", "dls").alias("b")).agg(F.count("*").alias("shared"))
+def _open(cols: DataFrame, home: DataFrame, tables: Tables) -> DataFrame:
+    """The entries of columns with rows of more than one component, with root, degree and the column's largest
+    component `big`."""
+    placed = cols.join(home, "cls")
+    counts = placed.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("big"), F.count("*").alias("roots"))
+    return tables.write(placed.join(counts.where("roots > 1").select("h", "big"), "h"), "open")
+
+
+def _star(entries: DataFrame, k: int, p: JaccardParams) -> DataFrame:
+    """(a, b): the rows of every column with its pivot, if they are of different components and may be linked.
+
+    In the first round the pivot has the smallest hash, so that the columns of a group agree on few pivots. In the
+    second it has most links so far: the centre of a group whose members differ from each other more than from it.
+    Later it is any row of the column's largest component, another one in each column, so that a row outside meets
+    many members.
+    """
+    order = (F.xxhash64("cls"), F.struct(-F.col("degree"), F.xxhash64("cls")), F.struct(F.col("root") != F.col("big"), F.xxhash64("cls", "h", F.lit(k))))[min(k, 2)]
+    pivot = entries.groupBy("h").agg(F.min_by(F.struct("cls", "n", "live", "pos", "root"), order).alias("x"))
+    x = [F.col(f"x.{a}").alias(b) for a, b in (("cls", "dls"), ("n", "m"), ("live", "mive"), ("pos", "qos"), ("root", "soot"))]
+    star = entries.join(pivot, "h").select("cls", "n", "live", "pos", "root", *x).where("root <> soot")
+    return _possible(star, p).groupBy(F.least("cls", "dls").alias("a"), F.greatest("cls", "dls").alias("b")).agg(F.count("*").alias("shared")).select("a", "b")
+
+
+def _rest(entries: DataFrame, p: JaccardParams) -> DataFrame:
+    """(a, b), each once: the pairs of different components that share a column and may be linked.
+
+    One of the two rows lies outside the column's largest component. A pair is made in the first column that it
+    shares, the one before which the rows' own columns have nothing in common; a row's list of columns is as long as
+    its text allows, whatever the size of a group.
+    """
+    rows = entries.groupBy("cls", "n", "live", "root").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "big"))).alias("own"))
+    each = rows.select("cls", "n", "live", "root", F.col("own.h").alias("all"), F.posexplode("own").alias("k", "x"))
+    left = each.select("cls", "n", "live", "root", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.big").alias("big"), F.expr("slice(all, 1, k)").alias("before"))
+    right = left.select("h", F.col("cls").alias("dls"), F.col("n").alias("m"), F.col("live").alias("mive"), F.col("pos").alias("qos"), F.col("root").alias("soot"), F.col("before").alias("past"))
+    size, most = _bounds(p)
+    fits = f"root <> soot AND (soot = big OR cls < dls) AND {size} AND {most} AND NOT arrays_overlap(before, past)"
+    pairs = left.where("root <> big").alias("l").join(right.alias("r"), (F.col("l.h") == F.col("r.h")) & F.expr(fits))
+    return pairs.select(F.least("cls", "dls").alias("a"), F.greatest("cls", "dls").alias("b"))
+
+
+def _bounds(p: JaccardParams) -> tuple[str, str]:
+    """SQL: sizes n and m allow a link; so do the positions of a column that both rows have."""
+    most = "(least(pos, qos) + least(live - pos, mive - qos))"
+    return p.linked("least(n, m)", "n", "m"), p.linked(most, "n", "m")
+
+
+def _possible(pairs: DataFrame, p: JaccardParams) -> DataFrame:
+    size, most = _bounds(p)
+    return pairs.where(size).where(most)
+
+
+def _settle(home: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
+    """`home` after links (a, b): components of components, and each class's number of links."""
+    of = lambda c: home.select(F.col("cls").alias(c), F.col("root").alias(f"r{c}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    joined = components(between, tables, "stars").select(F.col("u").alias("root"), "v")
+    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("more"))
+    new = home.join(joined, "root", "left").join(degree, "cls", "left")
+    return tables.write(new.select("cls", F.coalesce("v", "root").alias("root"), (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree")), "home")
 
 
 def _links(pairs: DataFrame, grams: DataFrame, p: JaccardParams) -> DataFrame:
@@ -264,31 +322,19 @@ def jaccard_components(docs: DataFrame, p: JaccardParams = JaccardParams()) -> D
     grams = tables.write(_profile(texts, p, True).dropDuplicates(["cls"]).select("cls", "n", "grams"), "grams")
     cols = tables.write(_columns(grams, p), "cols")
 
-    # the star of every column: its pivot has the smallest hash, so that the columns of a group agree on few pivots
-    pivot = cols.groupBy("h").agg(F.min_by(F.struct("cls", "n", "live", "pos"), F.xxhash64("cls")).alias("x"), F.count("*").alias("k")).where("k > 1")
-    star = cols.join(pivot, "h").select("cls", "n", "live", "pos", F.col("x.cls").alias("dls"), F.col("x.n").alias("m"), F.col("x.live").alias("mive"), F.col("x.pos").alias("qos")).where("cls <> dls")
-    tried = tables.write(_bounded(star, p), "tried")
-    roots = components(_links(tried, grams, p), tables, "stars")
-
-    # what remains: pairs of different components within a column, each with a row outside its largest component
-    placed = cols.join(roots.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("v", "cls")).drop("v")
-    placed = tables.write(placed, "placed")
-    mixed = placed.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("big"), F.count("*").alias("roots")).where("roots > 1")
-    open_ = placed.join(mixed.select("h", "big"), "h")
-    other = open_.select("h", F.col("cls").alias("dls"), F.col("n").alias("m"), F.col("live").alias("mive"), F.col("pos").alias("qos"), F.col("root").alias("soot"))
-    rest = open_.where("root <> big").join(other, "h").where("root <> soot AND (soot = big OR cls < dls)")
-    rest = _bounded(rest, p).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = _links(rest, grams, p)
-    of = lambda c: roots.select(F.col("u").alias(c), F.col("v").alias(f"r{c}"))
-    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    joined = components(between, tables, "joined")
-
-    root = F.coalesce("w", "v", "cls")
-    final = classes.join(roots.withColumnRenamed("u", "cls"), "cls", "left")
-    final = final.join(joined.select(F.col("u").alias("v0"), F.col("v").alias("w")), F.coalesce("v", "cls") == F.col("v0"), "left").select("cls", "first_id", root.alias("root"))
+    home = tables.write(alive.select("cls", F.col("cls").alias("root"), F.lit(0).cast("bigint").alias("degree")), "home")
+    for k in range(p.stars):
+        links = tables.write(_links(_star(_open(cols, home, tables), k, p), grams, p), f"links-{k}")
+        if k > 1 and not links.limit(1).count():
+            break
+        home = _settle(home, links, tables)
+    # what remains: pairs of different components within a column
+    home = _settle(home, _links(_rest(_open(cols, home, tables), p), grams, p), tables)
+
+    final = classes.join(home.select("cls", "root"), "cls", "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
     first = final.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = tables.write(final.join(first, "root").select("cls", "component_id"), "named")
-    tables.drop("alive", "grams", "cols", "tried", "placed", "stars", "joined")
+    tables.drop("alive", "grams", "cols", "open", "home", "stars", "rest", *(f"links-{k}" for k in range(p.stars)))
     out = seen.join(named, "cls", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
