@@ -88,7 +88,7 @@ def train(docs: DataFrame, ratings: DataFrame, p: OrdinalParams = OrdinalParams(
 
     got = map_texts(texts, "at array<int>, x array<float>", setup).orderBy("doc_id").toArrow()
     flat = lambda c: [v.values.to_numpy(zero_copy_only=False) for v in got.column(c)]
-    rows = [(a.astype(np.int64), v) for a, v in zip(flat("at"), flat("x"), strict=True)]
+    rows = list(zip(flat("at"), flat("x"), strict=True))
     return fit_ordinal(rows, np.array(got.column("grade").to_pylist(), dtype=np.int64), p)
 
 

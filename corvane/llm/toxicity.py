@@ -14,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,8 +94,8 @@ def train(docs: DataFrame, labels: DataFrame, p: FtrlParams = FtrlParams(), fold
     got = map_texts(texts, "at array<int>", setup).orderBy("doc_id").toArrow()
     seen, rows, y = set(), [], []
     for at, label in zip(got.column("at"), got.column("label").to_pylist(), strict=True):
-        at = at.values.to_numpy(zero_copy_only=False).astype(np.int64)
-        if (key := (label, at.tobytes())) not in seen:  # copies teach nothing new
+        at = at.values.to_numpy(zero_copy_only=False)
+        if (key := (label, xxhash.xxh3_128_digest(at))) not in seen:  # copies teach nothing new
             seen.add(key)
             rows.append(at)
             y.append(label)
