@@ -110,9 +110,10 @@ class PrefixEncoder:
     def __init__(self, model: Model):
         self.m = model
         self.longest = max(map(len, model.pieces), default=1)
-        self.heads = {p[:k] for p in model.pieces for k in range(1, len(p) + 1)}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.sound: dict[str, bool] = {}
+        #: Ends of pieces: whole pieces are 2 until merging has shown them sound (1) or not (0); other ends are 0.
+        self.ends = {p[k:]: 0 for p in model.pieces for k in range(len(p))} | {p: 1 if len(p) == 1 else 2 for p in model.pieces}
+        self.number = {p: k for p, (k, _) in model.pieces.items()}
         self.lowest = min((s for _, s in model.pieces.values()), default=0.0) - 10.0
         inner = any(MARK in p.lstrip(MARK) for p in model.pieces)
         breaks = "" if inner or any("\n" in p for p in model.pieces) else "\n"
@@ -137,17 +138,13 @@ class PrefixEncoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _is_sound(self, piece: str) -> bool:
-        ok = self.sound.get(piece)
-        if ok is None:
-            ok = self.sound[piece] = len(piece) == 1 or self.merge(piece) == [piece]
-        return ok
+        ok = self.ends[piece] = int(self.merge(piece) == [piece])
+        return bool(ok)
 
     def _fit(self, a: str, b: str) -> bool:
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) >= 600_000:  # some 100 MB a worker
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merge(a + b) == [a, b]
+        if len(self.pairs) >= 600_000:  # some 100 MB a worker
+            self.pairs.clear()
+        ok = self.pairs[a, b] = self.merge(a + b) == [a, b]
         return ok
 
     def encode_sorted(self, words: list[str]) -> dict[str, array]:
@@ -163,7 +160,8 @@ class PrefixEncoder:
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], score[shared + 1 :]
+            del last[shared + 1 :]
+            del score[shared + 1 :]
             for end in range(shared + 1, len(w) + 1):
                 step(w, end, last, score)
             out[w] = self._ids(w, last)
@@ -171,15 +169,25 @@ class PrefixEncoder:
         return out
 
     def _step_bpe(self, w: str, end: int, last: list[str], score: list[float]) -> None:
-        known = self.m.pieces
-        for start in range(max(0, end - self.longest), end):
+        """Only one piece can end here, so they are tried from the shortest, as long as some piece ends so."""
+        ends, known = self.ends, self.pairs.get
+        start = end - 1
+        piece = w[start:end]
+        kind = ends.get(piece)
+        while kind is not None:
+            if kind and (kind == 1 or self._is_sound(piece)):
+                if not start:
+                    break
+                fit = known((last[start], piece))
+                if fit or (fit is None and self._fit(last[start], piece)):
+                    break
+            start -= 1
+            if start < 0:
+                kind = None
+                break
             piece = w[start:end]
-            if piece in known and self._is_sound(piece) and (start == 0 or self._fit(last[start], piece)):
-                last.append(piece)
-                score.append(0.0)
-                return
-        last.append(w[end - 1])
-        score.append(0.0)
+            kind = ends.get(piece)
+        last.append(piece if kind is not None else w[end - 1])
 
     def _step_unigram(self, w: str, end: int, last: list[str], score: list[float]) -> None:
         known, best, piece = self.m.pieces, score[end - 1] + self.lowest, w[end - 1]
@@ -198,8 +206,13 @@ class PrefixEncoder:
         while end:
             back.append(last[end])
             end -= len(last[end])
+        back.reverse()
+        try:
+            return array("i", [self.number[piece] for piece in back])
+        except KeyError:
+            pass
         ids = array("i")
-        for piece in reversed(back):
+        for piece in back:
             got = self.m.pieces.get(piece)
             if got:
                 ids.append(got[0])
@@ -213,7 +226,7 @@ class PrefixEncoder:
 class Codec:
     """Encodes and decodes batches of texts; words stay known from batch to batch within a bound."""
 
-    def __init__(self, model: Model, known: int = 250_000):
+    def __init__(self, model: Model, known: int = 500_000):
         self.m, self.encoder, self.known = model, PrefixEncoder(model), known
         self.words: dict[str, array] = {}
 
