@@ -8,8 +8,13 @@ the distinct texts of every template is one aggregation that combines before it
 leaf. A template in at least `min_docs` distinct texts recurs, and its lines are dropped from all documents but the
 one with the smallest id.
 
+Lines of fewer than `min_tokens` tokens have one template, of all their tokens, and must be in more distinct texts to
+recur: `few_docs`, or `least_docs` from one or two tokens. In them a token with a digit is a wildcard only beside two
+words or more that are half of the tokens at least, so that 'Page 3 of 9' is a template and 'Total 3' is itself. Lines
+without a letter have no template when they are that short. How many texts a template needs is in its two lowest bits.
+
 Exact copies of a document count as one text, so copies alone never make a line recur: they are left for the
-near-duplicate stage. Lines of fewer than `min_tokens` tokens are never dropped.
+near-duplicate stage.
 
 The recurring templates are broadcast up to `max_broadcast` of them (16 bytes each); beyond, the same decision is a
 shuffle join.
@@ -33,7 +38,8 @@ from pyspark.sql import functions as F
 from corvane.llm.arrow import Memo, map_texts
 from corvane.llm.store import Tables
 
-WILD = 0x9E3779B97F4A7C15
+#: Even: the lowest bit of a token's hash says that it is a word, with a letter and without a digit.
+WILD = 0x9E3779B97F4A7C14
 
 
 @dataclass(frozen=True)
@@ -43,8 +49,14 @@ class TreeParams:
     min_tokens: int = 6
     min_general: int = 12
     min_docs: int = 3
+    few_docs: int = 5
+    least_docs: int = 10
     max_broadcast: int = 4_000_000
 
+    def needs(self) -> list[tuple[int, int]]:
+        """(tokens from which on, distinct texts to recur), four at most, for the two lowest bits of a template."""
+        return [(1, self.least_docs), (3, self.few_docs), (self.min_tokens, self.min_docs)]
+
 
 class Templates:
     """The templates of lines, as signed 64-bit hashes; all lines of a part of a batch are hashed together."""
@@ -57,38 +69,52 @@ class Templates:
 
     @staticmethod
     def _token(raw: str) -> int:
-        return WILD if any(map(str.isdigit, raw)) else xxhash.xxh3_64_intdigest(raw)
+        if raw.isalpha():
+            return xxhash.xxh3_64_intdigest(raw) | 1
+        if any(map(str.isdigit, raw)):
+            return WILD
+        h = xxhash.xxh3_64_intdigest(raw)
+        return h | 1 if any(map(str.isalpha, raw)) else h & ~1
 
     def __call__(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(templates, index of the line that each belongs to)."""
         p = self.p
         tokens = [line.split() for line in lines]
-        at = np.array([k for k, t in enumerate(tokens) if len(t) >= p.min_tokens], np.int64)
+        n = np.array([len(t) for t in tokens], np.int64)
+        at = np.flatnonzero(n)
         if not len(at):
             return np.zeros(0, np.int64), at
-        n = np.array([len(tokens[k]) for k in at])
+        n = n[at]
         start, total = np.cumsum(n) - n, int(n.sum())
         x = np.zeros(total + 1, np.uint64)  # one more, for cuts at the end
-        x[:-1] = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(tokens[k] for k in at)), np.uint64, total)
+        x[:-1] = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(tokens)), np.uint64, total)
+        words = np.add.reduceat(x[:-1] & np.uint64(1), start).astype(np.int64)
+        wild = np.add.reduceat((x[:-1] == np.uint64(WILD)).astype(np.int64), start)
         while n.max() > len(self.odd):
             self.odd = np.concatenate([self.odd, self.odd * np.uint64(0xD6E8FEB86659FD93)])
         x[:-1] = (x[:-1] ^ (x[:-1] >> np.uint64(31))) * self.odd[np.arange(total) - np.repeat(start, n)]
         x[:-1] ^= x[:-1] >> np.uint64(29)
         whole = np.add.reduceat(x[:-1], start)
         wide = np.flatnonzero(n >= p.min_general)
-        parts = [self._finish(whole, n, 0)]
+        few = n < p.min_tokens
+        use = ~few | (words > 0)
+        for k in np.flatnonzero(few & (wild > 0) & ((words < 2) | (2 * words < n))):
+            own = tokens[at[k]]
+            whole[k] = xxhash.xxh3_64_intdigest("\n".join(own))
+            use[k] = any(map(str.isalpha, chain.from_iterable(own)))
+        parts = [self._finish(whole[use], n[use], 0)]
         if len(wide):
             size = (n[wide] - p.lead)[:, None]
             cuts = start[wide][:, None] + p.lead + np.arange(p.blocks + 1) * size // p.blocks
             runs = np.add.reduceat(x, cuts.ravel()).reshape(cuts.shape)
             parts += [self._finish(whole[wide] - runs[:, k], n[wide], k + 1) for k in range(p.blocks)]
-        return np.concatenate(parts), np.concatenate([at, *[at[wide]] * (len(parts) - 1)])
+        return np.concatenate(parts), np.concatenate([at[use], *[at[wide]] * (len(parts) - 1)])
 
-    @staticmethod
-    def _finish(h: np.ndarray, n: np.ndarray, kind: int) -> np.ndarray:
+    def _finish(self, h: np.ndarray, n: np.ndarray, kind: int) -> np.ndarray:
         h = h ^ (n.astype(np.uint64) + np.uint64(kind * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF))
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0x165667B19E3779F9)
-        return (h ^ (h >> np.uint64(29))).view(np.int64)
+        need = np.searchsorted([k for k, _ in self.p.needs()], n, "right") - 1
+        return ((h ^ (h >> np.uint64(29))) & ~np.uint64(3) | need.astype(np.uint64)).view(np.int64)
 
 
 def _in_parts(texts: list, most: int = 500_000) -> Iterator[tuple[int, list]]:
@@ -125,10 +151,11 @@ def _templates_of(rows: DataFrame, p: TreeParams) -> DataFrame:
 
 
 def recurring(docs: DataFrame, p: TreeParams = TreeParams()) -> DataFrame:
-    """(sig, n_docs, first_id) of the templates in at least min_docs distinct texts."""
+    """(sig, n_docs, first_id) of the templates in as many distinct texts as they need."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     once = _templates_of(rows, p).groupBy("sig", "text").agg(F.min("doc_id").alias("doc_id"))
-    return once.groupBy("sig").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id")).where(F.col("n_docs") >= p.min_docs)
+    need = F.array(*[F.lit(k) for _, k in p.needs()])[F.col("sig").bitwiseAND(3)]
+    return once.groupBy("sig").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id")).where(F.col("n_docs") >= need)
 
 
 def _dropping(rows: DataFrame, p: TreeParams, lookup: Callable[[], tuple[np.ndarray, np.ndarray]]) -> DataFrame:

@@ -208,6 +208,21 @@ def test_line_dedup(spark):
     assert linededup.drop_recurring(docs(spark, [])).count() == 0
 
 
+def kept_lines(spark, texts):
+    got = linededup.drop_recurring(docs(spark, texts)).orderBy("doc_id").collect()
+    return [r["_clean"].split("\n") for r in got]
+
+
+def test_line_dedup_of_short_lines(spark):
+    gone, stay = ["All rights reserved.", "Released under the MIT License.", "Home", "Page {} of 99"], ["", "---", "{}", "7 8", "Total {}"]
+    texts = ["\n".join(x.format(k) for x in [*gone, *stay]) for k in range(12)]
+    got = kept_lines(spark, texts)
+    assert got[0] == texts[0].split("\n")
+    assert got[1:] == [[x.format(k) for x in stay] for k in range(1, 12)]
+    few = [f"Home\nAll rights reserved.\nNumber {'abcde'[k]}" for k in range(4)]
+    assert kept_lines(spark, few) == [t.split("\n") for t in few]
+
+
 # pieces
 
 
