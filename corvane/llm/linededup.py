@@ -5,8 +5,8 @@ wildcards from the start. A leaf's templates generalise further: the tokens afte
 runs by position, and a template may have one run as a wildcard, so lines of one path that agree on all other runs
 share it. A template is one hash (path, fixed tokens, wildcard run); hence the tree is not held anywhere: counting
 the distinct texts of every template is one aggregation that combines before it shuffles, whatever the size of a
-leaf. A template in at least `min_docs` distinct texts recurs, and its lines are dropped from all documents but the
-one with the smallest id.
+leaf. A template in at least `min_docs` distinct texts recurs, from `long_tokens` tokens on in `long_docs`, and its
+lines are dropped from all documents but the one with the smallest id.
 
 Lines of fewer than `min_tokens` tokens have one template, of all their tokens, and must be in more distinct texts to
 recur: `few_docs`, or `least_docs` from one or two tokens. In them a token with a digit is a wildcard only beside two
@@ -51,11 +51,13 @@ class TreeParams:
     min_docs: int = 3
     few_docs: int = 5
     least_docs: int = 10
+    long_tokens: int = 12
+    long_docs: int = 2
     max_broadcast: int = 4_000_000
 
     def needs(self) -> list[tuple[int, int]]:
         """(tokens from which on, distinct texts to recur), four at most, for the two lowest bits of a template."""
-        return [(1, self.least_docs), (3, self.few_docs), (self.min_tokens, self.min_docs)]
+        return [(1, self.least_docs), (3, self.few_docs), (self.min_tokens, self.min_docs), (self.long_tokens, self.long_docs)]
 
 
 class Templates:

@@ -223,6 +223,14 @@ def test_line_dedup_of_short_lines(spark):
     assert kept_lines(spark, few) == [t.split("\n") for t in few]
 
 
+def test_line_dedup_of_two_texts(spark):
+    passage = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    short = "only seven words in this short line"
+    one, two, three = f"{passage}\n{short}\nfirst", f"second\n{passage}\n{short}", f"third\n{' '.join(passage.split()[:12])}"
+    got = kept_lines(spark, [one, two, one, three, three + "\nmore"])
+    assert got == [one.split("\n"), ["second", short], [short, "first"], three.split("\n"), ["third", "more"]]
+
+
 # pieces
 
 
