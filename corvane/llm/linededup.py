@@ -2,8 +2,12 @@
 
 A line's path in the tree is its token count, then its leading tokens; variable fields (tokens with a digit) are
 wildcards from the start. A leaf's templates generalise further: the tokens after the leading ones form `blocks`
-runs by position, and a template may have one run as a wildcard, so lines of one path that agree on all other runs
-share it. A template is one hash (path, fixed tokens, wildcard run); hence the tree is not held anywhere: counting
+runs by position, and a template has two runs as wildcards, so lines of one path that agree on all other runs share it.
+One more has every capitalised token after the leading ones and every one with a digit as a wildcard, if they are three
+at least. A template needs fixed words for half of its tokens; where no pair of runs leaves them, one run is a wildcard
+(from `min_general` tokens on whatever stays), or none. Lines that share a template with fewer wildcards share those with more, so the
+former are only made where the latter are not. Fields among the leading tokens, in lower case in more than two runs, or
+of varying length are not generalised. A template is one hash (path, fixed tokens, kind); hence the tree is not held anywhere: counting
 the distinct texts of every template is one aggregation that combines before it shuffles, whatever the size of a
 leaf. A template in at least `min_docs` distinct texts recurs, from `long_tokens` tokens on in `long_docs`, and its
 lines are dropped from all documents but the one with the smallest id.
@@ -38,7 +42,8 @@ from pyspark.sql import functions as F
 from corvane.llm.arrow import Memo, map_texts
 from corvane.llm.store import Tables
 
-#: Even: the lowest bit of a token's hash says that it is a word, with a letter and without a digit.
+#: The lowest bit of a token's hash says that it is a word, with a letter and without a digit, the next that its first
+#: character is upper case.
 WILD = 0x9E3779B97F4A7C14
 
 
@@ -66,17 +71,16 @@ class Templates:
     def __init__(self, p: TreeParams):
         self.p = p
         self.ids = Memo(self._token, 500_000)
+        self.pairs = np.triu_indices(p.blocks, 1)
         rng = np.random.default_rng(5)
         self.odd = rng.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     @staticmethod
     def _token(raw: str) -> int:
-        if raw.isalpha():
-            return xxhash.xxh3_64_intdigest(raw) | 1
-        if any(map(str.isdigit, raw)):
+        plain = raw.isalpha()
+        if not plain and any(map(str.isdigit, raw)):
             return WILD
-        h = xxhash.xxh3_64_intdigest(raw)
-        return h | 1 if any(map(str.isalpha, raw)) else h & ~1
+        return xxhash.xxh3_64_intdigest(raw) & ~3 | (plain or any(map(str.isalpha, raw))) | raw[0].isupper() << 1
 
     def __call__(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(templates, index of the line that each belongs to)."""
@@ -90,30 +94,44 @@ class Templates:
         start, total = np.cumsum(n) - n, int(n.sum())
         x = np.zeros(total + 1, np.uint64)  # one more, for cuts at the end
         x[:-1] = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(tokens)), np.uint64, total)
-        words = np.add.reduceat(x[:-1] & np.uint64(1), start).astype(np.int64)
-        wild = np.add.reduceat((x[:-1] == np.uint64(WILD)).astype(np.int64), start)
+        word, field, wild = (x & np.uint64(1)).astype(np.int64), (x & np.uint64(2)) > 0, x == np.uint64(WILD)
         while n.max() > len(self.odd):
             self.odd = np.concatenate([self.odd, self.odd * np.uint64(0xD6E8FEB86659FD93)])
-        x[:-1] = (x[:-1] ^ (x[:-1] >> np.uint64(31))) * self.odd[np.arange(total) - np.repeat(start, n)]
+        place = np.arange(total) - np.repeat(start, n)
+        x[:-1] = (x[:-1] ^ (x[:-1] >> np.uint64(31))) * self.odd[place]
         x[:-1] ^= x[:-1] >> np.uint64(29)
-        whole = np.add.reduceat(x[:-1], start)
-        wide = np.flatnonzero(n >= p.min_general)
+        whole, words = np.add.reduceat(x[:-1], start), np.add.reduceat(word[:-1], start)
         few = n < p.min_tokens
         use = ~few | (words > 0)
-        for k in np.flatnonzero(few & (wild > 0) & ((words < 2) | (2 * words < n))):
+        for k in np.flatnonzero(few & (np.add.reduceat(wild[:-1].astype(np.int64), start) > 0) & ((words < 2) | (2 * words < n))):
             own = tokens[at[k]]
             whole[k] = xxhash.xxh3_64_intdigest("\n".join(own))
             use[k] = any(map(str.isalpha, chain.from_iterable(own)))
-        parts = [self._finish(whole[use], n[use], 0)]
-        if len(wide):
-            size = (n[wide] - p.lead)[:, None]
-            cuts = start[wide][:, None] + p.lead + np.arange(p.blocks + 1) * size // p.blocks
-            runs = np.add.reduceat(x, cuts.ravel()).reshape(cuts.shape)
-            parts += [self._finish(whole[wide] - runs[:, k], n[wide], k + 1) for k in range(p.blocks)]
-        return np.concatenate(parts), np.concatenate([at[use], *[at[wide]] * (len(parts) - 1)])
-
-    def _finish(self, h: np.ndarray, n: np.ndarray, kind: int) -> np.ndarray:
-        h = h ^ (n.astype(np.uint64) + np.uint64(kind * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF))
+        g = np.flatnonzero(~few)
+        if not len(g):
+            return self._finish(whole[use], n[use], np.zeros(int(use.sum()), np.int64)), at[use]
+        field = (field | wild)[:-1] & (place >= p.lead)
+        n_field = np.add.reduceat(field.astype(np.int64), start)[g]
+        cuts = start[g][:, None] + p.lead + np.arange(p.blocks + 1) * (n[g] - p.lead)[:, None] // p.blocks
+        empty = cuts[:, 1:] == cuts[:, :-1]
+        run = np.where(empty, np.uint64(0), np.add.reduceat(x, cuts.ravel()).reshape(cuts.shape)[:, :-1])
+        left = words[g][:, None] - np.where(empty, 0, np.add.reduceat(word, cuts.ravel()).reshape(cuts.shape)[:, :-1])
+        i, j = self.pairs
+        pair = 2 * (left[:, i] + left[:, j] - words[g][:, None]) >= n[g][:, None]
+        covered = np.stack([pair[:, (i == k) | (j == k)].any(axis=1) for k in range(p.blocks)], axis=1)
+        one = ~covered & ~empty & ((n[g] >= p.min_general)[:, None] | (2 * left >= n[g][:, None]))
+        none = ~(pair.any(axis=1) | one.any(axis=1))
+        # a field's word is a word that does not stay
+        stays = words[g] - np.add.reduceat(field * word[:-1], start)[g]
+        named = (n_field >= 3) & (2 * stays >= n[g])
+        h = np.column_stack([whole[g], whole[g][:, None] - run, whole[g][:, None] - run[:, i] - run[:, j], whole[g] - np.add.reduceat(x[:-1] * field, start)[g]])
+        row, kind = np.nonzero(np.column_stack([none, one, pair, named]))
+        short = np.flatnonzero(few & use)
+        owner = np.concatenate([short, g[row]])
+        return self._finish(np.concatenate([whole[short], h[row, kind]]), n[owner], np.concatenate([np.zeros(len(short), np.int64), kind])), at[owner]
+
+    def _finish(self, h: np.ndarray, n: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        h = h ^ (n.astype(np.uint64) + kind.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0x165667B19E3779F9)
         need = np.searchsorted([k for k, _ in self.p.needs()], n, "right") - 1
         return ((h ^ (h >> np.uint64(29))) & ~np.uint64(3) | need.astype(np.uint64)).view(np.int64)

@@ -231,6 +231,16 @@ def test_line_dedup_of_two_texts(spark):
     assert got == [one.split("\n"), ["second", short], [short, "first"], three.split("\n"), ["third", "more"]]
 
 
+def test_line_dedup_of_fields(spark):
+    names, parts, days = ["Anna", "Boris", "Chen", "Dana"], ["Sports", "Travel", "Music", "Food"], ["Monday", "Tuesday", "Friday", "Sunday"]
+    low = ["red", "green", "blue", "grey"]
+    lines = ["Posted by {n} in {p} on {d}", "written by some {c} author on {d} evening", "the report of the {c} group was read to all members by {n} and then closed again for the year"]
+    texts = ["\n".join([*lines, "12 {c} 7 {n} 3 9", "own {c}"]).format(n=n, p=p, d=d, c=c) for n, p, d, c in zip(names, parts, days, low, strict=True)]
+    got = kept_lines(spark, texts)
+    assert got[0] == texts[0].split("\n")
+    assert got[1:] == [t.split("\n")[-2:] for t in texts[1:]]
+
+
 # pieces
 
 
