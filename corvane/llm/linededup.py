@@ -226,7 +226,7 @@ def drop_recurring(docs: DataFrame, p: TreeParams = TreeParams()) -> DataFrame:
     # each row meets the templates that it has itself: (row, sig) pairs, joined and gathered by row
     rows = rows.withColumn("_row", F.struct(F.col("doc_id").alias("i"), F.xxhash64("_text").alias("t")))
     own = _templates_of(rows.select("doc_id", F.col("_text").alias("text")), p).select("sig", F.struct(F.col("doc_id").alias("i"), F.col("text").alias("x")).alias("_key"))
-    hits = own.join(found.where(F.col("first_id").isNotNull()), "sig").where(~F.col("_key.i").eqNullSafe(F.col("first_id")))
+    hits = own.join(found.where(F.col("first_id").isNotNull()), "sig").where(F.col("_key.i") != F.col("first_id"))
     bad = hits.groupBy("_key").agg(F.collect_set("sig").alias("_sigs")).select(F.col("_key.i").alias("_i"), F.col("_key.x").alias("_x"), "_sigs")
     keyed = map_texts(rows.drop("_row").withColumn("_t", F.col("_text")), "_x bigint", lambda: lambda ts: {"_x": [_signed(t) for t in ts]}, text="_t")
     joined = keyed.join(bad, keyed["_id"].eqNullSafe(bad["_i"]) & (keyed["_x"] == bad["_x"]), "left").drop("_i").drop("_x")

@@ -241,6 +241,14 @@ def test_line_dedup_of_fields(spark):
     assert got[1:] == [t.split("\n")[-2:] for t in texts[1:]]
 
 
+def test_line_dedup_without_an_id(spark):
+    line = "this is a shared boilerplate line of many words that all of the texts have"
+    texts = [f"{line}\n{x}" for x in ("one", "two", "three", "four")]
+    for most in (linededup.TreeParams().max_broadcast, 0):
+        got = linededup.drop_recurring(docs(spark, texts, [1, 2, None, 3]), linededup.TreeParams(max_broadcast=most)).collect()
+        assert {r["doc_id"]: r["_clean"] for r in got} == {1: texts[0], 2: "two", None: texts[2], 3: "four"}
+
+
 # pieces
 
 
