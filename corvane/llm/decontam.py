@@ -6,7 +6,7 @@ benchmark's. The benchmark is broadcast only when the measured size of its windo
 beyond that the same join runs as a shuffle join, with the same result.
 
 Defined results: null and empty texts have no words and no hits; an item without words gives no window; windows
-that several items share count for each item; repeated rows of documents give repeated results; other columns
+that several items share count for each item; an item without an id counts in n_hit and is in no list of items; repeated rows of documents give repeated results; other columns
 of either table are ignored.
 """
 
@@ -28,9 +28,9 @@ def item_words(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """Distinct windows (n, h, gram) with the items they come from; an item of fewer words is one window."""
+    """Distinct windows (n, h, gram) with the ids of the items they come from; an item of fewer words is one window."""
     words = benchmark.select(F.col("item_id").cast("string").alias("item"), item_words(non_null(F.col("text"))).alias("words"))
-    sized = words.where((F.size("words") > 0) & F.col("item").isNotNull()).withColumn("n", F.least(F.size("words"), F.lit(width)))
+    sized = words.where(F.size("words") > 0).withColumn("n", F.least(F.size("words"), F.lit(width)))
     starts = sized.select("item", "n", "words", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)).alias("at"))
     grams = starts.select("item", "n", F.slice("words", F.col("at"), F.col("n")).alias("w"))
     keyed = grams.select("item", "n", F.xxhash64(F.transform("w", lambda x: F.xxhash64(x))).alias("h"), F.array_join("w", " ").alias("gram"))

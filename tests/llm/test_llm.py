@@ -73,6 +73,16 @@ def test_decontamination_edges(spark):
     assert [(r["doc_id"], r["n_hit"]) for r in twice] == [(5, 12), (5, 12)]
 
 
+def test_decontamination_by_items_without_an_id(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(None, item), (None, "only here"), (4, item + " w12")], "item_id bigint, text string")
+    texts = [item, "it is only here", "clean"]
+    for most in (256, 0):
+        got = decontam.contamination(docs(spark, texts), bench, max_broadcast_mb=most).orderBy("doc_id").collect()
+        assert [(r["n_hit"], r["items"], r["contaminated"]) for r in got] == [(12, ["4"], True), (2, [], True), (0, [], False)]
+        assert [r["doc_id"] for r in decontam.drop_contaminated(docs(spark, texts), bench, max_broadcast_mb=most).collect()] == [2]
+
+
 # n-gram join
 
 
