@@ -54,10 +54,13 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int = 2_500) -
     return taken.orderBy(order, key).limit(n).select(*rows.columns)
 
 
-def gram_vectors(strings: DataFrame, k: int = 4) -> DataFrame:
-    """(id, features): binary vectors over the character k-grams that occur, the 65,536 most frequent at most."""
+def gram_vectors(strings: DataFrame, k: int = 4, most: int = 1 << 19) -> DataFrame:
+    """(id, features): binary vectors over all character k-grams that occur; more than `most` of them are refused."""
     sets = strings.select("id", shingles(F.col("string"), k).alias("grams"))
-    return CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=1.0, vocabSize=1 << 16).fit(sets).transform(sets).select("id", "features")
+    n = sets.select(F.explode("grams")).distinct().count()
+    if n > most:
+        raise ValueError(f"{n} distinct {k}-grams, more than the {most} that the driver is to hold")
+    return CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=1.0, vocabSize=max(n, 1)).fit(sets).transform(sets).select("id", "features")
 
 
 def plane(vectors: DataFrame, k: int = 3) -> DataFrame:

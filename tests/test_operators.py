@@ -168,3 +168,13 @@ def test_files_round_trip(spark, tmp_path):
     for back in (files.read_csv(spark, f"{tmp_path}/c", "n int, s string"), files.read_json(spark, f"{tmp_path}/j", "n int, s string"), files.read_json(spark, f"{tmp_path}/j").select("n", "s")):
         assert sorted((r["n"], r["s"]) for r in back.collect()) == [(1, "a,b"), (2, None)]
     assert [tuple(r) for r in files.schema_rows(df).collect()] == [(0, "n", "int", True), (1, "s", "string", True)]
+
+
+def test_gram_vectors_keep_every_gram(spark):
+    text = "".join(chr(0x4E00 + k % 20_000) + chr(0x4E00 + k // 20_000) for k in range(70_000))
+    parts = rows(spark, [(k, text[k * 200 : k * 200 + 203]) for k in range(700)], "id bigint, string string")
+    distinct = len({text[k : k + 4] for k in range(len(text) - 3)})
+    assert distinct > 1 << 16
+    assert strings.gram_vectors(parts).first()["features"].size == distinct
+    with pytest.raises(ValueError, match="4-grams"):
+        strings.gram_vectors(parts, most=1000)
