@@ -1,4 +1,5 @@
-"""How the operators' inputs come from the star-schema tables, for Spark and for DuckDB. All are whole tables."""
+"""How the operators' inputs come from the star-schema tables, for Spark and for DuckDB. All are whole tables but
+the strings, which are the user turns of conversations only."""
 
 from __future__ import annotations
 
