@@ -5,9 +5,9 @@ path and content. Tokens of a host with the same occurrence vector (how often on
 class. The vector is never written out: a commutative hash of (page, count) stands for it, so classes come from one
 aggregation that combines before it shuffles, however many pages a host has. A class is valid if it has an element
 opening, which places it in the page tree, and occurs on at least `min_pages` different pages; its texts then belong
-to the template. The class of all pages is the template's root, the others are optional parts nested in it by path.
+to the template. Classes are neither ordered nor nested: the texts of all classes of a host are one set.
 
-What remains between the template's tokens are slots. Slots under a menu, header, footer, sidebar, notice, advert,
+What is not in that set remains, and fixed lists of tags and class names choose from it. Parts under a menu, header, footer, sidebar, notice, advert,
 form, script, style or comment element are left out; of the rest, those under article or main elements, or all if
 the page has none, give the text.
 
