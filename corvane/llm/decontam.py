@@ -1,13 +1,17 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams against training token windows.
 
-Every window of a document is hashed inside the row that holds its words; only (hash, start) is generated, and
-the words are read again for the few windows that the hash set lets through, whose text must equal the
-benchmark's. The benchmark is broadcast only when the measured size of its windows is under `max_broadcast_mb`;
-beyond that the same join runs as a shuffle join, with the same result.
+Documents are read and cut into words once: every window, of each width that the benchmark has, is hashed inside the
+row that holds its words; (width, hash, start) is generated and meets the hash set at once, and the words are looked at
+again for the few windows that the set lets through, whose text must equal the benchmark's. One more entry a document
+carries its number of words through the same join, so no second pass counts them. The benchmark's windows are written
+once and broadcast only when their measured size is under `max_broadcast_mb`; beyond that the windows of the documents
+are shuffled to them by hash, and the text of a hit is verified where its words are, with the same result.
 
 Defined results: null and empty texts have no words and no hits; an item without words gives no window; windows
-that several items share count for each item; an item without an id counts in n_hit and is in no list of items; repeated rows of documents give repeated results; other columns
-of either table are ignored.
+that several items share count for each item; an item without an id counts in n_hit and is in no list of items; items with
+the same id are one in the list; repeated rows of documents give repeated results, and rows of one id with different
+texts a result each; contamination() ignores other columns of either table, whatever their names, and
+drop_contaminated() passes those of docs unchanged.
 """
 
 from __future__ import annotations
@@ -37,24 +41,33 @@ def benchmark_windows(benchmark: DataFrame, width: int = 10) -> DataFrame:
     return keyed.groupBy("n", "h", "gram").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
+def _hashed(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """(key, words, n, h, start) for every window of a document, and once a document n = 0 with its number of words
+    as start."""
+    words = docs.select("key", item_words(F.col("body")).alias("words"))
+    sized = lambda n: F.transform(window_hashes(F.col("words"), n), lambda h, i: F.struct(F.lit(n).alias("n"), h.alias("h"), i.cast("int").alias("start")))
+    own = F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("h"), F.size("words").alias("start")))
+    return words.select("key", "words", F.explode(F.concat(own, *[sized(n) for n in widths])).alias("x")).select("key", "words", "x.n", "x.h", "x.start")
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_broadcast_mb: int = 256) -> DataFrame:
-    """(key columns of docs, start, n, items) for every occurrence of a benchmark window.
+    """(key, start, n, items) for every occurrence of a benchmark window, with start counting words from 0; and one
+    row of n = 0 for every row of `docs`, of which start is the number of words.
 
-    `docs` has the columns key and body; start counts words from 0.
+    `docs` has the columns key and body.
     """
-    windows = benchmark_windows(benchmark, width)
+    windows = Tables(docs.sparkSession, "decontamination").write(benchmark_windows(benchmark, width), "windows")
     size = windows.agg(F.coalesce(F.sum(F.length("gram") + 16 * F.size("items") + 64), F.lit(0)).alias("bytes"), F.sort_array(F.collect_set("n")).alias("widths")).first()
-    small = size["bytes"] <= max_broadcast_mb * 1_000_000
-    found = None
-    for n in size["widths"] or [width]:
-        side = windows.where(F.col("n") == n).select("h", "gram", "items")
-        side = F.broadcast(side) if small else side
-        words = docs.select("key", item_words(F.col("body")).alias("words"))
-        hashed = words.select("key", "words", F.posexplode(window_hashes(F.col("words"), n)).alias("start", "h"))
-        match = hashed.join(side, "h").where(F.array_join(F.slice("words", F.col("start") + 1, n), " ") == F.col("gram"))
-        hits = match.select("key", "start", F.lit(n).alias("n"), "items")
-        found = hits if found is None else found.unionAll(hits)
-    return found
+    hashed = _hashed(docs, size["widths"])
+    side = windows.select(F.col("n").alias("m"), F.col("h").alias("g"), "gram", "items")
+    same = (F.col("n") == F.col("m")) & (F.col("h") == F.col("g"))
+    text = F.array_join(F.slice("words", F.col("start") + 1, F.greatest(F.col("n"), F.lit(1))), " ") == F.col("gram")
+    if size["bytes"] <= max_broadcast_mb * 1_000_000:
+        return hashed.join(F.broadcast(side), same & text, "left").where("n = 0 OR gram IS NOT NULL").select("key", "start", "n", "items")
+    found = hashed.where("n > 0").select("key", "n", "h", "start").join(side, same, "left_semi").select("key", "n", "h", "start")
+    again = docs.dropDuplicates(["key"]).select("key", item_words(F.col("body")).alias("words")).join(found.distinct(), "key")
+    hits = again.join(side, same & text).select("key", "start", "n", "items")
+    return hits.unionAll(hashed.where("n = 0").select("key", "start", "n", F.lit(None).cast("array<string>").alias("items")))
 
 
 def covered(spans: Column) -> Column:
@@ -72,9 +85,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_br
     """One row per row of docs: doc_id, n_words, n_hit, items (sorted), spans (sorted), contaminated."""
     rows = docs.select("doc_id", non_null(F.col("text")).alias("body")).select(F.struct("doc_id", F.xxhash64("body").alias("t")).alias("key"), "body")
     hits = find_hits(rows, benchmark, width, max_broadcast_mb)
-    counted = rows.select("key", let(item_words(F.col("body")), F.size).alias("n_words"), F.lit(1).alias("copies"), F.lit(None).cast("struct<start:int,n:int>").alias("span"), F.lit(None).cast("array<string>").alias("items"))
-    marked = hits.select("key", F.lit(None).cast("int").alias("n_words"), F.lit(0).alias("copies"), F.struct("start", "n").alias("span"), "items")
-    each = counted.unionAll(marked).groupBy("key").agg(F.max("n_words").alias("n_words"), F.sum("copies").alias("copies"), F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    own = F.col("n") == 0
+    each = hits.groupBy("key").agg(
+        F.max(F.when(own, F.col("start"))).alias("n_words"), F.sum(own.cast("int")).alias("copies"), F.collect_set(F.when(~own, F.struct("start", "n"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
+    )
     out = each.select(
         F.col("key.doc_id").alias("doc_id"),
         F.col("n_words").cast("long").alias("n_words"),
