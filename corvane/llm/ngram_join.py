@@ -9,9 +9,11 @@ The product is never formed in full. Size-derived bounds cut it down before and
 2. Columns. Among the surviving rows the n-grams are ordered by document frequency, rarest first. Two linked rows
    share one of the first live(n) - need(n) + 1 live n-grams of each, so only those columns are multiplied.
 3. Stars. A column is first multiplied with its pivot row only, not with itself. Pairs whose sizes and positions in
-   the column bound their overlap below the threshold are discarded; the overlap of the others is accumulated over
-   their whole sets, which decides them exactly. Links give components. `stars` rounds of this, with
-   other pivots each, and only over columns whose rows are not yet in one component.
+   the column bound their overlap below the threshold are discarded. The overlap of the others is accumulated block by
+   block over the columns of both rows; a pair is discarded as soon as the count so
+   far and the smaller of the rows' remaining cells cannot reach the bound any more, and the count itself decides the
+   pairs that stay. Links give components. `stars` rounds of this, with other pivots each, and only over columns whose
+   rows are not yet in one component.
 4. Rest. In the columns that remain open every pair of different components is decided in the same way: rows outside
    the column's largest component against all of its rows, each pair in the first column that it shares.
 
@@ -20,8 +22,8 @@ lost. Components are found by alternating large and small stars over written tab
 with the documents is collected.
 
 Defined results: null text and text without words have an empty set, no links and their own id as component; equal
-sets are one class whatever the words' case; repeated rows give one result row each; a null id is the largest of
-its component; other columns of the input are ignored.
+sets are one class whatever the words' case; repeated rows give one result row each; a component of which some ids are
+null has the smallest of the others as its id; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.arrow import Memo
+from corvane.llm.arrow import Memo, slices
 from corvane.llm.store import Tables, join_checked
 
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -51,6 +53,7 @@ class JaccardParams:
     chunk: int = 800_000
     block: int = 1_000_000
     stars: int = 6
+    parts: int = 8
 
     def need(self, n: str) -> str:
         """SQL for the overlap that a row of n needs with any partner."""
@@ -64,7 +67,7 @@ class GramSets:
     """Sorted distinct 64-bit hashes of a text's n-grams of words; a shorter text is one n-gram."""
 
     def __init__(self, width: int):
-        self.width, self.ids = width, Memo(xxhash.xxh3_64_intdigest, 300_000)
+        self.width, self.ids = width, Memo(xxhash.xxh3_64_intdigest)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else ()
@@ -80,20 +83,24 @@ class GramSets:
 
 
 def _profile(rows: DataFrame, p: JaccardParams, with_grams: bool) -> DataFrame:
-    """doc_id, n, cls (hash of the set) and, if asked for, grams."""
+    """doc_id, n, cls (hash of the set) and, if asked for, its n-grams in blocks of columns."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n int, cls bigint" + (", grams array<bigint>" if with_grams else "")
+    schema = f"doc_id {kind}, n int, cls bigint" + (", blocks array<array<bigint>>" if with_grams else "")
+
+    borders = np.array([(1 << 64) // p.parts * k for k in range(1, p.parts)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = GramSets(p.width)
-        for b in batches:
-            made = [sets(t) for t in b.column("text").to_pylist()]
-            cols = {"doc_id": b.column("doc_id"), "n": pa.array([len(s) for s in made], pa.int32()), "cls": pa.array([_digest(s) for s in made], pa.int64())}
-            if with_grams:
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in made])]).astype(np.int32)
-                flat = np.concatenate(made).view(np.int64) if made else np.zeros(0, np.int64)
-                cols["grams"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_pydict(cols)
+        for batch in batches:
+            for b, texts in slices(batch, "text"):
+                made = [sets(t) for t in texts]
+                cols = {"doc_id": b.column("doc_id"), "n": pa.array([len(s) for s in made], pa.int32()), "cls": pa.array([_digest(s) for s in made], pa.int64())}
+                if with_grams:
+                    cuts = [np.diff(np.r_[0, np.searchsorted(s, borders), len(s)]) for s in made]
+                    flat = pa.array(np.concatenate(made).view(np.int64))
+                    blocks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.concatenate(cuts))].astype(np.int32)), flat)
+                    cols["blocks"] = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * p.parts), blocks)
+                yield pa.RecordBatch.from_pydict(cols)
 
     return rows.mapInArrow(run, schema)
 
@@ -104,43 +111,57 @@ def _digest(grams: np.ndarray) -> int:
 
 def live_counts(rows: DataFrame, p: JaccardParams, total: int) -> DataFrame:
     """cls, live: at least as many as the n-grams of the class that another class has too."""
-    blocks = max(512, min(65_536, total // p.block + 1) * 4)
+    blocks = max(512, (total // p.block + 1) * 4)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, seen, held, size = GramSets(p.width), set(), [], 0
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                grams = sets(t)
-                if len(grams) and (key := _digest(grams)) not in seen:
-                    seen.add(key)
-                    held.append((key, grams))
-                    size += len(grams)
-                if size >= p.chunk:
-                    yield _blocks(held, blocks)
-                    held, size = [], 0
+        for t in (t for batch in batches for _, texts in slices(batch, "text") for t in texts):
+            grams = sets(t)
+            if len(grams) and (key := _digest(grams)) not in seen:
+                seen.add(key)
+                held.append((key, grams))
+                size += len(grams)
+            if size >= p.chunk:
+                yield _blocks(held, blocks)
+                held, size = [], 0
             if len(seen) > 2_000_000:
                 seen.clear()  # a class that comes again is counted again: the count is an upper bound
         if held:
             yield _blocks(held, blocks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple]] = {}
+        here, parts, done, held = None, [], [], 0
         for b in batches:
-            for block, gram, cls, times, mark in zip(*(b.column(c).to_pylist() for c in ("block", "gram", "cls", "times", "mark")), strict=True):
-                if gram is None:  # counted by the chunk for its own classes
-                    yield _live(np.frombuffer(cls, np.int64), np.frombuffer(times, np.uint32))
-                else:
-                    parts.setdefault(block, []).append((gram, cls, times, mark))
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                for block, gram, cls, times, mark in zip(*(part.column(c).to_pylist() for c in ("block", "gram", "cls", "times", "mark")), strict=True):
+                    if gram is None:  # counted by the chunk for its own classes
+                        yield _live(np.frombuffer(cls, np.int64), np.frombuffer(times, np.uint32))
+                        continue
+                    if block != here and parts:
+                        done.append(_count_block(parts))
+                        parts, held = [], held + len(done[-1][0])
+                        if held > 2_000_000:
+                            yield _summed(done)
+                            done, held = [], 0
+                    here = block
+                    parts.append((gram, cls, times, mark))
         if parts:
-            done = [_count_block(parts.pop(k)) for k in list(parts)]
-            names, where = np.unique(np.concatenate([d[0] for d in done]), return_inverse=True)
-            yield _live(names, np.bincount(where, np.concatenate([d[1] for d in done])))
+            done.append(_count_block(parts))
+        if done:
+            yield _summed(done)
 
     sent = rows.mapInArrow(split, "block int, gram binary, cls binary, times binary, mark binary")
-    each = sent.repartition(max(2, blocks // 4), "block").mapInArrow(count, "cls bigint, live int")
+    # sorted, so that a task holds one block at a time, of about `block` n-grams whatever the input
+    each = sent.repartition(max(2, blocks // 4), "block").sortWithinPartitions("block").mapInArrow(count, "cls bigint, live int")
     return each.groupBy("cls").agg(F.sum("live").alias("live"))
 
 
+def _summed(done: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    names, where = np.unique(np.concatenate([d[0] for d in done]), return_inverse=True)
+    return _live(names, np.bincount(where, np.concatenate([d[1] for d in done]), minlength=len(names)))
+
+
 def _live(cls: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(times.astype(np.int32))], names=["cls", "live"])
 
@@ -231,7 +252,7 @@ def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
 
 def _columns(grams: DataFrame, p: JaccardParams) -> DataFrame:
     """(cls, n, live, pos, h): the rarest-first prefix of every row that can still be linked."""
-    post = grams.select("cls", "n", F.explode("grams").alias("h"))
+    post = grams.select("cls", "n", F.explode(F.flatten("blocks")).alias("h"))
     shared = post.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     row = post.join(shared, "h").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
     row = row.withColumn("live", F.size("order")).withColumn("need", F.expr(p.need("n"))).where("live >= need")
@@ -300,11 +321,17 @@ def _settle(home: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
 
 
 def _links(pairs: DataFrame, grams: DataFrame, p: JaccardParams) -> DataFrame:
-    """The pairs (a, b) that are linked, by the overlap of their whole sets."""
-    left = grams.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("grams").alias("g"))
-    right = grams.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("grams").alias("k"))
+    """The pairs (a, b) that are linked, by overlap counts accumulated over blocks of columns.
+
+    The state of a pair is its count, or -1 once the bound is out of reach, and the cells of each row still to come.
+    """
+    left = grams.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("blocks").alias("g"))
+    right = grams.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("blocks").alias("k"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return both.where(p.linked("size(array_intersect(g, k))", "n", "m")).select("a", "b")
+    reach = p.linked("(s.hit + i + least(s.r - size(x.g), s.q - size(x.k)))", "n", "m")
+    grown = f"transform(array(size(array_intersect(x.g, x.k))), i -> named_struct('hit', IF({reach}, s.hit + i, -1), 'r', s.r - size(x.g), 'q', s.q - size(x.k)))[0]"
+    hit = f"aggregate(arrays_zip(g, k), named_struct('hit', 0, 'r', n, 'q', m), (s, x) -> IF(s.hit < 0, s, {grown}), s -> s.hit)"
+    return both.withColumn("hit", F.expr(hit)).where(f"hit > 0 AND {p.linked('hit', 'n', 'm')}").select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
@@ -319,7 +346,7 @@ def jaccard_components(docs: DataFrame, p: JaccardParams = JaccardParams()) -> D
     alive = tables.write(alive.select("cls", "n", F.col("first_id").alias("id")), "alive")
     ids = alive.select("id").distinct()
     texts = join_checked(rows, ids, rows["doc_id"].eqNullSafe(ids["id"]), "left_semi", alive.count())
-    grams = tables.write(_profile(texts, p, True).dropDuplicates(["cls"]).select("cls", "n", "grams"), "grams")
+    grams = tables.write(_profile(texts, p, True).dropDuplicates(["cls"]).select("cls", "n", "blocks"), "grams")
     cols = tables.write(_columns(grams, p), "cols")
 
     home = tables.write(alive.select("cls", F.col("cls").alias("root"), F.lit(0).cast("bigint").alias("degree")), "home")
