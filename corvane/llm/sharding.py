@@ -5,22 +5,27 @@ them. compact() takes every tier (shards of similar size: the same power of `fan
 shards below the target size and merges it into about target-sized shards in one narrow job without a shuffle;
 the merged shards replace the small ones in the next manifest. A manifest is written beside its place and renamed to
 manifests/<version>.json, which fails if another writer was first; then the change is applied to that newer
-manifest and tried again. Readers take one version and see all of its rows or none; shards that no kept version
-names are removed by vacuum(). The driver holds file names, sizes and row counts only, never rows.
+manifest and tried again. Readers take one version and see all of its rows or none. vacuum() removes old manifests and every
+data file that no kept version names: those of replaced shards at once, those that no manifest ever named (of failed or
+repeated tasks, lost conflicts) and drafts of manifests once they are older than `orphan_hours`, since a younger one may
+belong to a writer at work. The driver holds file names, sizes and row counts only, never rows.
 
 A shard's size is its file's, so no key decides where rows go: a hot source or group of copies cannot make a shard
 grow. Everything lives under one root, a path of any Hadoop file system, and failed or repeated tasks leave no rows
 behind, because only listed files count.
 
 Defined results: an empty arrival adds a version without shards; null values and repeated rows are stored as they
-are; all columns are kept, whatever their names; arrivals whose columns differ are read together by name, missing
-values as null.
+are; all columns are kept, whatever their names, but the one that read() adds replaces a column of its name; arrivals
+whose columns differ are read together by name, missing values as null; of shards of equal size the first by path is
+merged first. A merge gives about target-sized shards: it joins whole partitions, so a shard may be smaller or larger
+than the target by the size of one input file.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from collections import defaultdict
 from dataclasses import asdict, dataclass
@@ -28,7 +33,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.store import _left, file_system, remove, shared_folder
+from corvane.llm.arrow import column
+from corvane.llm.store import file_system, remove, shared_table_root
 
 
 @dataclass(frozen=True)
@@ -144,34 +150,49 @@ class ShardStore:
                 self.commit(merged, group)
         return self.manifest()[0]
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Removes manifests but the last `keep_versions` and the shards that only they name; the number of these."""
+    def vacuum(self, keep_versions: int = 1, orphan_hours: float = 24.0) -> int:
+        """Removes manifests but the last `keep_versions` and the data files that none of them names; how many."""
         versions = self.versions()
         kept, old = versions[-keep_versions:], versions[:-keep_versions]
         live = {s.path for v in kept for s in self.manifest(v)[1]}
         dead = {s.path for v in old for s in self.manifest(v)[1]} - live
-        for path in [*dead, *(f"{self.root}/manifests/{v:09d}.json" for v in old)]:
+        before = time.time() - orphan_hours * 3600
+        named = {self._below(p) for p in live | dead}
+        orphans = [p for p, at in self._files("data") if at <= before and self._below(p) not in named]
+        drafts = [p for p, at in self._files("manifests") if at <= before and p.rsplit("/", 1)[1].startswith(".")]
+        for path in [*dead, *orphans, *drafts, *(f"{self.root}/manifests/{v:09d}.json" for v in old)]:
             remove(self.spark, path)
-        return len(dead)
-
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with _shard (path under the root)."""
+        return len(dead) + len(orphans)
+
+    def _below(self, path: str) -> str:
+        return path.rsplit("/data/", 1)[-1]
+
+    def _files(self, folder: str) -> list[tuple[str, float]]:
+        """(path, time of change in seconds) of all files under a folder."""
+        fs, p = file_system(self.spark, f"{self.root}/{folder}")
+        out, more = [], fs.listFiles(p, True) if fs.exists(p) else None
+        while more is not None and more.hasNext():
+            f = more.next()
+            out.append((f.getPath().toString(), f.getModificationTime() / 1000))
+        return out
+
+    def read(self, version: int | None = None, shard: str = "shard") -> DataFrame:
+        """The rows of a version, with the column `shard`: its path under the root."""
         version, shards = self.manifest(version)
         if not shards:
             raise ValueError("the version has no rows")
         rows = self.spark.read.option("mergeSchema", "true").parquet(*[s.path for s in shards])
-        return rows.withColumn("_shard", F.regexp_extract(F.col("_metadata.file_path"), r"/data/(.*)$", 1))
+        kept = [column(n) for n in rows.columns if n.lower() != shard.lower()]
+        return rows.select(*kept, F.regexp_extract(F.col("_metadata.file_path"), r"/data/(.*)$", 1).alias(shard))
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
     """Four arrivals of documents, each compacted; every document with the shard and version that hold it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
-    _left.append((spark, root))
-    store = ShardStore(spark, root)
+    store = ShardStore(spark, shared_table_root(spark, "shards"))
     for k in range(4):
         store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == k))
         store.compact()
         store.vacuum()
     version = store.manifest()[0]
-    return store.read(version).select("doc_id", "n_chars", F.col("_shard").alias("shard"), F.lit(version).alias("version"))
+    return store.read(version).select("doc_id", "n_chars", "shard", F.lit(version).alias("version"))
