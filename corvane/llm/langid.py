@@ -1,25 +1,25 @@
 """Language identification, word first: known words score by their log frequency in each language; an unseen
 word falls back to its character n-grams, from the longest known length down to single characters.
 
-Training counts words of at most about `max_rows` documents with a language (a documented bound of a classifier's
-sample) with DataFrame functions, and keeps the most frequent `max_words` words of each language; n-gram counts
-come from those words. The tables, bounded by these parameters and by `max_langs`, are broadcast; prediction is
-one narrow pass over all whole texts, in which a worker looks every distinct token up once.
-
-Defined results: null texts and texts without a letter are `und` with score 0; texts of which no n-gram is known
-get the most frequent language; with nothing to learn from every text is `und`; repeated rows give repeated
-results; other columns of the input are ignored.
+Training counts all words of a bounded share of the documents with a language (documented bounds of a classifier's
+sample): about `max_rows` documents and `max_chars` characters, the rows divided equally among the languages, so that a
+rare language is learned too. Counting is by DataFrame functions; n-gram counts come from the words. The tables, of
+which the sample bounds the size, are broadcast; prediction is one narrow pass over all whole texts, in which a worker
+looks every distinct token up once.
+
+Defined results: null texts and texts without a letter are `und` with score 0; texts of which no n-gram is known get
+the language of most documents; of languages with equal scores the first by name is predicted; with nothing to learn
+from every text is `und`; a row that is repeated counts as often as it is there; repeated rows give repeated results;
+other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.llm.arrow import Memo, bounded_share, map_texts
@@ -31,48 +31,60 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class LangParams:
     max_rows: int = 10_000
-    max_words: int = 20_000
-    max_langs: int = 200
+    max_chars: int = 8_000_000
     max_gram: int = 4
-    min_word_count: int = 3
     backoff_weight: float = 0.4
 
 
+@dataclass(frozen=True)
+class Logs:
+    """Log frequencies of keys, a row of `table` each and a column a language, less the largest of the row."""
+
+    at: dict[str, int] = field(default_factory=dict)
+    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+
+    @staticmethod
+    def of(at: dict[str, int], weight: np.ndarray) -> Logs:
+        logs = np.log((weight + 0.5) / (weight.sum(axis=0) + 0.5 * len(at))) if len(at) else weight
+        return Logs(at, (logs - logs.max(axis=1, keepdims=True)).astype(np.float32) if logs.size else logs)
+
+
 @dataclass(frozen=True)
 class LangModel:
     params: LangParams
     langs: list[str]
     prior: np.ndarray
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: list[dict[str, np.ndarray]] = field(default_factory=list)
+    words: Logs = field(default_factory=Logs)
+    grams: list[Logs] = field(default_factory=list)
 
     def word_scores(self, word: str) -> np.ndarray:
         """Log frequency of a word, or the mean over the longest length of which n-grams are known."""
-        if (known := self.words.get(word)) is not None:
-            return known
+        if (known := self.words.at.get(word)) is not None:
+            return self.words.table[known]
         marked = f"<{word}>"
         for n in range(len(self.grams), 0, -1):
-            table = self.grams[n - 1]
-            found = [table[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in table]
+            get = self.grams[n - 1].at.get
+            found = [k for i in range(len(marked) - n + 1) if (k := get(marked[i : i + n])) is not None]
             if found:
-                return np.sum(found, axis=0) * (self.params.backoff_weight / len(found))
-        return np.zeros(len(self.langs))
+                return self.grams[n - 1].table[found].sum(axis=0) * (self.params.backoff_weight / len(found))
+        return np.zeros(len(self.langs), np.float32)
 
     def predictor(self):
         rows: list[np.ndarray] = []
 
         def place(raw: str) -> int:
             word = letters(raw)
-            rows.append(self.word_scores(word) if word else np.zeros(len(self.langs)))
+            rows.append(self.word_scores(word) if word else np.zeros(len(self.langs), np.float32))
             return len(rows) - 1
 
-        memo, table, size = Memo(place, limit=1 << 62), np.zeros((0, len(self.langs))), 0
+        memo, table, size = Memo(place, most=1 << 62), np.zeros((0, len(self.langs)), np.float32), 0
+        most = 96_000_000 // (200 + 8 * max(len(self.langs), 1))  # words of which a worker keeps the scores
 
         def predict(text: str | None) -> tuple[str, float]:
             nonlocal table, size
             if not self.langs or text is None or not any(map(str.isalpha, text)):
                 return UNKNOWN, 0.0
-            if len(rows) > 300_000:
+            if len(rows) > most:
                 memo.clear()
                 rows.clear()
                 size = 0
@@ -80,10 +92,10 @@ class LangModel:
             at = np.fromiter((memo[w] for w in raw), np.int64, len(raw))
             if len(rows) > size:
                 if len(rows) > len(table):
-                    table = np.concatenate([table[:size], np.zeros((len(rows) + 4096 - size, len(self.langs)))])
+                    table = np.concatenate([table[:size], np.zeros((len(rows) + 4096 - size, len(self.langs)), np.float32)])
                 table[size : len(rows)] = rows[size:]
                 size = len(rows)
-            s = self.prior + table[at].sum(axis=0)
+            s = self.prior + table[at].sum(axis=0, dtype=np.float64)
             e = np.exp(s - s.max())
             best = int(e.argmax())
             return self.langs[best], float(e[best] / e.sum())
@@ -103,35 +115,35 @@ def build(counts: list[tuple[str, str, int]], docs_by_lang: dict[str, int], p: L
     at = {name: k for k, name in enumerate(langs)}
     n_docs = sum(docs_by_lang.values()) or 1
     prior = np.array([math.log(docs_by_lang[name] / n_docs) for name in langs])
-    words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
-    grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(langs))) for _ in range(p.max_gram)]
-    for lang, word, n in counts:
-        words[word][at[lang]] += n
-    for word, n in words.items():
-        marked, weight = f"<{word}>", np.log1p(n)
-        for k in range(1, p.max_gram + 1):
-            for i in range(len(marked) - k + 1):
-                grams[k - 1][marked[i : i + k]] += weight
-
-    def logs(table: dict) -> dict:
-        total = np.sum(list(table.values()), axis=0) if table else np.ones(len(langs))
-        return {k: np.log((v + 0.5) / (total + 0.5 * len(table))) for k, v in table.items()}
-
-    def centred(table: dict) -> dict:
-        return {k: (v - v.max()).astype(np.float32) for k, v in table.items()}
-
-    return LangModel(p, langs, prior - prior.max() if len(langs) else prior, centred(logs(words)), [centred(logs(g)) for g in grams])
+    words: dict[str, int] = {}
+    row = np.array([words.setdefault(w, len(words)) for _, w, _ in counts], np.int64)
+    weight = np.zeros((len(words), len(langs)), np.float32)
+    np.add.at(weight, (row, np.array([at[lang] for lang, _, _ in counts], np.int64)), np.array([n for _, _, n in counts], np.float32))
+    damped, grams = np.log1p(weight), []
+    for k in range(1, p.max_gram + 1):
+        names: dict[str, int] = {}
+        of = [(names.setdefault(m[i : i + k], len(names)), j) for w, j in words.items() for m in (f"<{w}>",) for i in range(len(m) - k + 1)]
+        to = np.array(of, np.int64).reshape(-1, 2)
+        sums = np.zeros((len(names), len(langs)), np.float32)
+        np.add.at(sums, to[:, 0], damped[to[:, 1]])
+        grams.append(Logs.of(names, sums))
+    return LangModel(p, langs, prior - prior.max() if len(langs) else prior, Logs.of(words, weight), grams)
 
 
 def train(docs: DataFrame, p: LangParams = LangParams(), folds: int = 5) -> LangModel:
-    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), folds))
-    share = bounded_share(known, p.max_rows, "doc_id")
-    by_lang = {r["lang"]: r["n"] for r in share.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.max_langs).collect()}
+    known = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), folds))
+    docs_by_lang = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    each = max(1, p.max_rows // max(len(docs_by_lang), 1))
+    unit = 1 << 30
+    part = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(unit))
+    crowded = {name: int(each / n * unit) for name, n in docs_by_lang.items() if n > each}
+    most = F.lit(unit)
+    for name, k in sorted(crowded.items()):
+        most = F.when(F.col("lang") == name, k).otherwise(most)
+    share = bounded_share(known.where(part < most), p.max_chars, F.col("doc_id"), size=F.length("text"), seed=18)
     token = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
-    counts = share.select("lang", token).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n")).where(F.col("n") >= p.min_word_count)
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = counts.withColumn("k", rank).where(F.col("k") <= p.max_words).select("lang", "word", "n")
-    return build([tuple(r) for r in top.collect() if r["lang"] in by_lang], by_lang, p)
+    counts = share.select("lang", token).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return build([tuple(r) for r in counts.collect()], docs_by_lang, p)
 
 
 def predict(docs: DataFrame, model: LangModel, folds: int = 5) -> DataFrame:

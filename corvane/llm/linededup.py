@@ -24,7 +24,10 @@ The recurring templates are broadcast up to `max_broadcast` of them (16 bytes ea
 shuffle join.
 
 Defined results: null text counts as empty and comes back as null; a text all of whose lines are dropped becomes
-empty, its row stays; lines are split at \\n only and kept lines are unchanged; rows without an id keep their lines; repeated rows give repeated results.
+empty, its row stays; lines are split at \\n only and kept lines are unchanged; rows without an id keep their lines, and
+count as texts; of texts with the same id the id alone decides, so all rows of the smallest id keep the line, and so do
+repeated rows of it; repeated rows give repeated results; all columns of docs pass, but one that has the name of an
+added count is replaced by it.
 """
 
 from __future__ import annotations
@@ -36,15 +39,19 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
-from corvane.llm.arrow import Memo, map_texts
+from corvane.llm.arrow import Memo, column, fresh, slices
 from corvane.llm.store import Tables
 
 #: The lowest bit of a token's hash says that it is a word, with a letter and without a digit, the next that its first
 #: character is upper case.
 WILD = 0x9E3779B97F4A7C14
+#: Bytes of text whose lines are hashed together: their token arrays are some 20 times as large.
+PART = 500_000
 
 
 @dataclass(frozen=True)
@@ -70,7 +77,7 @@ class Templates:
 
     def __init__(self, p: TreeParams):
         self.p = p
-        self.ids = Memo(self._token, 500_000)
+        self.ids = Memo(self._token)
         self.pairs = np.triu_indices(p.blocks, 1)
         rng = np.random.default_rng(5)
         self.odd = rng.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,25 +144,19 @@ class Templates:
         return ((h ^ (h >> np.uint64(29))) & ~np.uint64(3) | need.astype(np.uint64)).view(np.int64)
 
 
-def _in_parts(texts: list, most: int = 500_000) -> Iterator[tuple[int, list]]:
-    """(index of the first, texts) of runs of about `most` characters, so that memory does not follow the batch."""
-    first = size = 0
-    for k, t in enumerate(texts):
-        size += len(t) if t else 0
-        if size >= most:
-            yield first, texts[first : k + 1]
-            first, size = k + 1, 0
-    if first < len(texts):
-        yield first, texts[first:]
+def _hash(name: str) -> Column:
+    """What stands for an id or a text where only equality matters; null for null."""
+    return F.when(column(name).isNotNull(), F.xxhash64(column(name)))
 
 
 def _templates_of(rows: DataFrame, p: TreeParams) -> DataFrame:
-    """(sig, text hash, id) once for each distinct template of a row."""
+    """(sig, and the other columns of rows) once for each distinct template of a row's text."""
+    rest = [f for f in rows.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Templates(p)
-        for b in batches:
-            for first, texts in _in_parts(b.column("text").to_pylist()):
+        for batch in batches:
+            for b, texts in slices(batch, "text", PART):
                 lines = [t.split("\n") if t else [] for t in texts]
                 sig, line = tree(list(chain.from_iterable(lines)))
                 if len(sig):
@@ -163,102 +164,90 @@ def _templates_of(rows: DataFrame, p: TreeParams) -> DataFrame:
                     order = np.lexsort((sig, owner))
                     sig, owner = sig[order], owner[order]
                     new = np.r_[True, (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])]
-                    sig, owner = sig[new], owner[new]
-                    text = np.array([xxhash.xxh3_64_intdigest(t or "") for t in texts], np.uint64).view(np.int64)[owner]
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(text), b.column("doc_id").take(pa.array(owner + first))], names=["sig", "text", "doc_id"])
+                    at = pa.array(owner[new])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[new]), *(b.column(f.name).take(at) for f in rest)], names=["sig", *(f.name for f in rest)])
 
-    return rows.mapInArrow(run, f"sig bigint, text bigint, doc_id {rows.schema['doc_id'].dataType.simpleString()}")
+    return rows.mapInArrow(run, StructType([StructField("sig", LongType()), *rest]))
 
 
 def recurring(docs: DataFrame, p: TreeParams = TreeParams()) -> DataFrame:
     """(sig, n_docs, first_id) of the templates in as many distinct texts as they need."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    once = _templates_of(rows, p).groupBy("sig", "text").agg(F.min("doc_id").alias("doc_id"))
+    each = _templates_of(rows.select("text", F.xxhash64("text").alias("t"), "doc_id"), p)
+    once = each.groupBy("sig", "t").agg(F.min("doc_id").alias("doc_id"))
     need = F.array(*[F.lit(k) for _, k in p.needs()])[F.col("sig").bitwiseAND(3)]
     return once.groupBy("sig").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id")).where(F.col("n_docs") >= need)
 
 
-def _dropping(rows: DataFrame, p: TreeParams, lookup: Callable[[], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Decides line by line with the sorted templates and their first ids that lookup() gives on the worker."""
+def _dropping(rows: DataFrame, out: StructType, p: TreeParams, lookup: Callable, own: str, sigs: str | None) -> DataFrame:
+    """Decides line by line. lookup() gives the sorted templates and the hashes of their first ids, which are compared
+    with the row's, in the column `own`; with a column `sigs` a row brings its own templates along instead."""
+    lines_at, gone_at = out.names[-2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Templates(p)
+        tree, schema = Templates(p), to_arrow_schema(out)
         known, holder = lookup()
-        for b in batches:
-            texts, total, gone = [], [], []
-            ids = b.column("_id").to_pylist()
-            for first, part in _in_parts(b.column("_text").to_pylist()):
-                lines = [t.split("\n") if t else [] for t in part]
+        for batch in batches:
+            for b, texts in slices(batch, "text", PART):
+                lines = [t.split("\n") if t else [] for t in texts]
+                count = [len(x) for x in lines]
                 sig, line = tree(list(chain.from_iterable(lines)))
-                drop = set()
-                if len(sig) and len(known):
-                    at = np.minimum(np.searchsorted(known, sig), len(known) - 1)
-                    owner = np.repeat(np.arange(len(part)), [len(x) for x in lines])
-                    for k in np.flatnonzero(known[at] == sig):
-                        own, held = ids[first + owner[line[k]]], holder[at[k]]
-                        if own is not None and held is not None and own != held:
-                            drop.add(int(line[k]))
-                here = 0
-                for t, ls in zip(part, lines, strict=True):
-                    kept = [x for k, x in enumerate(ls, here) if k not in drop] if drop else ls
+                drop: set[int] = set()
+                if len(sig):
+                    owner = np.repeat(np.arange(len(texts)), count)[line]
+                    if sigs:
+                        order = np.argsort(owner, kind="stable")
+                        ends = np.searchsorted(owner[order], np.arange(len(texts) + 1))
+                        for k, part in enumerate(b.column(sigs)):
+                            if part.is_valid:
+                                mine = order[ends[k] : ends[k + 1]]
+                                drop.update(line[mine[np.isin(sig[mine], part.values.to_numpy(zero_copy_only=False))]].tolist())
+                    elif len(known):
+                        at = np.minimum(np.searchsorted(known, sig), len(known) - 1)
+                        ids = b.column(own)
+                        valid, me = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+                        hit = (known[at] == sig) & valid[owner] & (me[owner] != holder[at])
+                        drop.update(line[hit].tolist())
+                kept, gone, here = [], [], 0
+                for t, ls in zip(texts, lines, strict=True):
+                    some = [x for k, x in enumerate(ls, here) if k not in drop] if drop else ls
                     here += len(ls)
-                    total.append(len(ls))
-                    gone.append(len(ls) - len(kept))
-                    texts.append(t if len(kept) == len(ls) else "\n".join(kept))
-            rest = [n for n in b.schema.names if n not in ("_text", "_id")]
-            cols = [b.column(n) for n in rest] + [pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*rest, "_clean", "_lines", "_gone"])
+                    gone.append(len(ls) - len(some))
+                    kept.append(t if len(some) == len(ls) else "\n".join(some))
+                made = {"text": kept, lines_at: count, gone_at: gone}
+                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) if f.name in made else b.column(f.name).cast(f.type) for f in schema], schema=schema)
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_text", "_id"))
-    return rows.mapInArrow(run, f"{ddl}, _clean string, _lines bigint, _gone bigint")
+    return rows.mapInArrow(run, out)
 
 
-def drop_recurring(docs: DataFrame, p: TreeParams = TreeParams()) -> DataFrame:
-    """All rows and columns of docs, plus _clean (the text without recurring lines), _lines and _gone (counts)."""
+def drop_recurring(docs: DataFrame, p: TreeParams = TreeParams(), lines: str = "n_lines", gone: str = "n_dropped") -> DataFrame:
+    """All rows and columns of docs, the text without recurring lines, plus the counts `lines` and `gone`.
+
+    A text crosses to Python and back once. Templates of the row itself come along only beyond `max_broadcast`.
+    """
     tables = Tables(docs.sparkSession, "line-dedup")
-    found = tables.write(recurring(docs, p).select("sig", "first_id"), "recurring")
-    rows = docs.withColumns({"_text": F.col("text").cast("string"), "_id": F.col("doc_id")})
+    found = tables.write(recurring(docs, p).select("sig", "first_id").where("first_id IS NOT NULL"), "recurring")
+    counts = (lines.lower(), gone.lower())
+    docs = docs.select(*[column(n).cast("string").alias(n) if n == "text" else column(n) for n in docs.columns if n.lower() not in counts])
+    out = StructType([*docs.schema.fields, StructField(lines, LongType()), StructField(gone, LongType())])
+    own = fresh(docs, "own")
+    rows = docs.withColumn(own, _hash("doc_id"))
     if found.count() <= p.max_broadcast:
-        got = found.orderBy("sig").toArrow()
+        got = found.select("sig", F.xxhash64("first_id").alias("h")).toArrow()
         sig = got.column("sig").to_numpy()
-        shared = docs.sparkSession.sparkContext.broadcast((sig, np.array(got.column("first_id").to_pylist(), dtype=object) if got.column("first_id").null_count else got.column("first_id").to_numpy()))
-        return _dropping(rows, p, lambda: shared.value)
+        order = np.argsort(sig)
+        shared = docs.sparkSession.sparkContext.broadcast((sig[order], got.column("h").to_numpy()[order]))
+        return _dropping(rows, out, p, lambda: shared.value, own, None)
     # each row meets the templates that it has itself: (row, sig) pairs, joined and gathered by row
-    rows = rows.withColumn("_row", F.struct(F.col("doc_id").alias("i"), F.xxhash64("_text").alias("t")))
-    own = _templates_of(rows.select("doc_id", F.col("_text").alias("text")), p).select("sig", F.struct(F.col("doc_id").alias("i"), F.col("text").alias("x")).alias("_key"))
-    hits = own.join(found.where(F.col("first_id").isNotNull()), "sig").where(F.col("_key.i") != F.col("first_id"))
-    bad = hits.groupBy("_key").agg(F.collect_set("sig").alias("_sigs")).select(F.col("_key.i").alias("_i"), F.col("_key.x").alias("_x"), "_sigs")
-    keyed = map_texts(rows.drop("_row").withColumn("_t", F.col("_text")), "_x bigint", lambda: lambda ts: {"_x": [_signed(t) for t in ts]}, text="_t")
-    joined = keyed.join(bad, keyed["_id"].eqNullSafe(bad["_i"]) & (keyed["_x"] == bad["_x"]), "left").drop("_i").drop("_x")
-    return _dropping_own(joined, p)
-
-
-def _signed(text: str | None) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(text or "")).view(np.int64))
-
-
-def _dropping_own(rows: DataFrame, p: TreeParams) -> DataFrame:
-    def setup() -> Callable[[list], dict]:
-        tree = Templates(p)
-
-        def work(pairs: list) -> dict:
-            out: dict[str, list] = {"_clean": [], "_lines": [], "_gone": []}
-            for pair in pairs:
-                t, bad = pair["t"], set(pair["s"] or ())
-                lines = t.split("\n") if t else []
-                drop = {int(k) for s, k in zip(*tree(lines), strict=True) if s in bad} if bad else ()
-                kept = [x for k, x in enumerate(lines) if k not in drop]
-                out["_clean"].append(t if len(kept) == len(lines) else "\n".join(kept))
-                out["_lines"].append(len(lines))
-                out["_gone"].append(len(lines) - len(kept))
-            return out
-
-        return work
-
-    both = rows.withColumn("_both", F.struct(F.col("_text").alias("t"), F.col("_sigs").alias("s"))).drop("_text", "_id", "_sigs")
-    return map_texts(both, "_clean string, _lines bigint, _gone bigint", setup, text="_both")
+    key = F.struct(F.col(own).alias("i"), F.xxhash64("text").alias("t"))
+    each = _templates_of(rows.where(F.col(own).isNotNull()).select("text", key.alias("key")), p)
+    bad = each.join(found, "sig").where(F.col("key.i") != F.xxhash64("first_id")).groupBy("key").agg(F.collect_set("sig").alias("sigs"))
+    sigs, k = fresh(docs, "sigs"), fresh(docs, "key")
+    both = rows.withColumn(k, key).join(bad.select(F.col("key").alias(f"{k}_"), F.col("sigs").alias(sigs)), F.col(k) == F.col(f"{k}_"), "left")
+    none = np.zeros(0, np.int64)
+    return _dropping(both.select(*[column(n) for n in docs.columns], own, sigs), out, p, lambda: (none, none), own, sigs)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return drop_recurring(docs).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_dropped"), F.col("_clean").alias("text"))
+    return drop_recurring(docs).select("doc_id", "n_lines", "n_dropped", "text")

@@ -14,31 +14,38 @@ The forward state depends on the model's kind:
 Characters outside the vocabulary become byte pieces (or unk, if the model has none). The model's bytes are broadcast
 (about 0.5 MB, checked against `MAX_MODEL_MB`); the path is a parameter. Encoding and decoding are narrow.
 
+Of last pieces that give equal sums in a unigram model a single character is taken, else the longest.
+
 Defined results: null and empty texts have no pieces and decode to the empty text; U+2581 in a text decodes to a
-space, and unpaired surrogates to U+FFFD, so `round_trip` is false for such texts; repeated rows give repeated results; other columns of the
-input are ignored.
+space, and unpaired surrogates to U+FFFD, so `round_trip` is false for such texts; repeated rows give repeated results;
+other columns pass unchanged, but one that has the name of an added column (n_tokens, ids, round_trip; text in
+decode()) is replaced by it.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
-from corvane.llm.arrow import map_texts
+from corvane.llm.arrow import column, map_texts
 
 MARK = "▁"
 MAX_MODEL_MB = 64
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
+#: What a worker remembers of pairs of pieces, and of words and their ids, in bytes.
+PAIR_BYTES, WORD_BYTES = 64_000_000, 96_000_000
 
 
 def _fields(data: bytes):
@@ -111,6 +118,7 @@ class PrefixEncoder:
         self.m = model
         self.longest = max(map(len, model.pieces), default=1)
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.held = 0
         #: Ends of pieces: whole pieces are 2 until merging has shown them sound (1) or not (0); other ends are 0.
         self.ends = {p[k:]: 0 for p in model.pieces for k in range(len(p))} | {p: 1 if len(p) == 1 else 2 for p in model.pieces}
         self.number = {p: k for p, (k, _) in model.pieces.items()}
@@ -142,8 +150,10 @@ class PrefixEncoder:
         return bool(ok)
 
     def _fit(self, a: str, b: str) -> bool:
-        if len(self.pairs) >= 600_000:  # some 100 MB a worker
+        self.held += 160  # pieces are as long as the model has them, so pairs do not vary much
+        if self.held > PAIR_BYTES:
             self.pairs.clear()
+            self.held = 160
         ok = self.pairs[a, b] = self.merge(a + b) == [a, b]
         return ok
 
@@ -224,18 +234,23 @@ class PrefixEncoder:
 
 
 class Codec:
-    """Encodes and decodes batches of texts; words stay known from batch to batch within a bound."""
+    """Encodes and decodes batches of texts; words stay known from batch to batch within a bound of bytes."""
 
-    def __init__(self, model: Model, known: int = 500_000):
+    def __init__(self, model: Model, known: int = WORD_BYTES):
         self.m, self.encoder, self.known = model, PrefixEncoder(model), known
         self.words: dict[str, array] = {}
+        self.held = 0
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.encoder.marked(t or "") for t in texts]
         new = sorted(set(chain.from_iterable(cut)) - self.words.keys())
-        if len(self.words) + len(new) > self.known:
+        size = sum(map(len, new)) * 4 + len(new) * 260
+        if self.held + size > self.known:
             self.words.clear()
+            self.held = 0
             new = sorted(set(chain.from_iterable(cut)))
+            size = sum(map(len, new)) * 4 + len(new) * 260
+        self.held += size
         self.words.update(self.encoder.encode_sorted(new))
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), np.int32) for ws in cut]
@@ -268,29 +283,30 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text_col: str = "te
         codec = _codec(shared.value)
 
         def work(texts: list) -> dict:
-            ids, same = [], []
-            for k in range(0, len(texts), 256):  # bounds what is held for very long texts
-                part = texts[k : k + 256]
-                got = codec.encode(part)
-                ids += got
-                same += [codec.decode(i) == (t or "") for i, t in zip(got, part, strict=True)]
-            return {"n_tokens": [len(i) for i in ids], "ids": ids, "round_trip": same}
+            ids = codec.encode(texts)
+            return {"n_tokens": [len(i) for i in ids], "ids": ids, "round_trip": [codec.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]}
 
         return work
 
-    rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    return map_texts(rows, "n_tokens bigint, ids array<int>, round_trip boolean", setup, text=text_col)
+    return map_texts(docs, "n_tokens bigint, ids array<int>, round_trip boolean", setup, text=text_col)
 
 
 def decode(rows: DataFrame, model_path: str = DEFAULT_MODEL, ids_col: str = "ids") -> DataFrame:
     """All other columns of rows, then text. Null ids give the empty text."""
     shared = rows.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
-
-    def setup() -> Callable[[list], dict]:
-        codec = _codec(shared.value)
-        return lambda batch: {"text": [codec.decode(np.array(i or [], np.int32)) for i in batch]}
-
-    return map_texts(rows, "text string", setup, text=ids_col)
+    kept = [f for f in rows.schema.fields if f.name.lower() not in (ids_col.lower(), "text")]
+    out = StructType([*kept, StructField("text", StringType())])
+    sent = rows.select(*[column(f.name) for f in kept], column(ids_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, schema = _codec(shared.value), to_arrow_schema(out)
+        for b in batches:
+            for k in range(0, b.num_rows, 512):  # bounds what is held for very long texts
+                part = b.slice(k, 512)
+                texts = [codec.decode(i.values.to_numpy(zero_copy_only=False)) if i.is_valid else "" for i in part.column(ids_col)]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name).cast(schema.field(f.name).type) for f in kept), pa.array(texts, pa.string())], schema=schema)
+
+    return sent.mapInArrow(run, out)
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:

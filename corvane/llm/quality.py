@@ -1,13 +1,15 @@
 """Quality: ordinal cumulative-link regression on graded ratings over hashed text.
 
 One weight vector is shared by all grades; ordered thresholds cut its score:
-P(grade <= k) = sigmoid(threshold[k] - w.x). Training reads at most about `max_rows` rated rows (a documented bound
-of a classifier's sample) and sends hashed features to the driver; scoring is one narrow pass over all whole texts
-and gives the expected grade, the tail probability P(grade >= tail) and the selection by it.
-
-Defined results: null and empty texts share one feature of their own; rows without a rating are not learned from;
-with no rated row, or one grade only, every text gets that grade (0 if none); repeated rows give repeated results;
-other columns of the input are ignored.
+P(grade <= k) = sigmoid(threshold[k] - w.x). Training reads about `max_rows` rated rows and `max_chars` characters of
+their texts at most (documented bounds of a classifier's sample) and sends hashed features to the driver; scoring is
+one narrow pass over all whole texts and gives the expected grade, the tail probability P(grade >= tail) and the
+selection by it.
+
+Defined results: null and empty texts share one feature of their own; rows without a rating, or with a negative one,
+are not learned from; an id with several ratings has the highest; rows with the same rating and features are learned
+from once; with no rated row, or one grade only, every text gets that grade (0 if none); a tail probability of exactly
+`keep_at` is kept; repeated rows give repeated results; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.arrow import bounded_share, map_texts
+from corvane.llm.arrow import map_texts, training_texts
 from corvane.llm.features import TextShape
 from corvane.llm.native import held_out
 
@@ -30,6 +33,7 @@ class OrdinalParams:
     l2: float = 1e-5
     epochs: int = 8
     max_rows: int = 8_000
+    max_chars: int = 48_000_000
     seed: int = 11
 
 
@@ -74,22 +78,25 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, p
 def train(docs: DataFrame, ratings: DataFrame, p: OrdinalParams = OrdinalParams(), folds: int = 5) -> OrdinalModel:
     """ratings: doc_id, grade (0, 1, ...). Rows of the held-out fold are not learned from."""
     known = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).where((F.col("grade") >= 0) & ~held_out(F.col("doc_id"), folds))
-    known = bounded_share(known.groupBy("doc_id").agg(F.max("grade").alias("grade")), p.max_rows, "doc_id")
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "grade", F.col("text").cast("string").alias("text"))
+    texts = training_texts(docs, known.groupBy("doc_id").agg(F.max("grade").alias("grade")), "grade", p.max_rows, p.max_chars)
 
     def setup():
         shape = TextShape(p.bits)
 
         def work(batch: list) -> dict:
             pairs = [shape(t) for t in batch]
-            return {"at": [a.astype(np.int32) for a, _ in pairs], "x": [v for _, v in pairs]}
+            at = [a.astype(np.int32) for a, _ in pairs]
+            x = [v for _, v in pairs]
+            return {"at": at, "x": x, "digest": [xxhash.xxh3_64_intdigest(a.tobytes() + v.tobytes()) >> 1 for a, v in zip(at, x, strict=True)]}
 
         return work
 
-    got = map_texts(texts, "at array<int>, x array<float>", setup).orderBy("doc_id").toArrow()
-    flat = lambda c: [v.values.to_numpy(zero_copy_only=False) for v in got.column(c)]
-    rows = list(zip(flat("at"), flat("x"), strict=True))
-    return fit_ordinal(rows, np.array(got.column("grade").to_pylist(), dtype=np.int64), p)
+    one = map_texts(texts, "at array<int>, x array<float>, digest bigint", setup).groupBy("grade", "digest")
+    got = one.agg(F.first(F.struct("at", "x")).alias("row")).select("grade", "digest", "row.at", "row.x").toArrow()
+    order = np.lexsort((got.column("digest").to_numpy(), got.column("grade").to_numpy()))
+    at, x = (got.column(c).combine_chunks() for c in ("at", "x"))
+    flat = lambda c, k: c[int(k)].values.to_numpy(zero_copy_only=False)
+    return fit_ordinal([(flat(at, k), flat(x, k)) for k in order], got.column("grade").to_numpy()[order].astype(np.int64), p)
 
 
 def rate(docs: DataFrame, model: OrdinalModel, tail: int = 1, keep_at: float = 0.5, folds: int = 5) -> DataFrame:

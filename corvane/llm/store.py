@@ -44,12 +44,18 @@ def _clean() -> None:
             pass
 
 
+def shared_table_root(spark: SparkSession, name: str) -> str:
+    """A new folder for tables in the shared folder, which is removed when the process ends."""
+    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _left.append((spark, root))
+    return root
+
+
 class Tables:
     """Written tables of one operator call: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        _left.append((spark, self.root))
+        self.spark, self.root = spark, shared_table_root(spark, name)
         self.at: dict[str, str] = {}
         self.n = 0
 

@@ -1,12 +1,15 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Training reads at most about `max_rows` labelled rows (a documented bound of a classifier's sample), chosen by a
-hash of the document id; their feature indexes, never their texts, reach the driver. The L1 penalty leaves a few
-thousand weights, which are broadcast. Scoring is one narrow pass over all whole texts.
+Training reads about `max_rows` labelled rows and `max_chars` characters of their texts at most (documented bounds of
+a classifier's sample), chosen by hashes of the document id; their feature indexes, never their texts, reach the
+driver. The L1 penalty leaves a few thousand weights, which are broadcast. Scoring is one narrow pass over all whole
+texts.
 
 Defined results: null and empty texts have no features and get the intercept's score; labels that are null, or
-neither 0 nor 1, are not learned from; an untrained model (no labelled row) scores 0.5 less a hair for everything
-(predicted 0); repeated rows give repeated results; other columns of the input are ignored.
+neither 0 nor 1, are not learned from; an id with both labels counts as toxic; rows with the same label and features
+are learned from once; an untrained model (no labelled row) scores 0.5 less a hair for everything (predicted 0), and a
+score of exactly 0.5 is predicted 1; repeated rows give repeated results; score() ignores other columns, whatever
+their names, and drop_toxic() passes them unchanged.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.arrow import bounded_share, map_texts
+from corvane.llm.arrow import keep_where, map_texts, training_texts
 from corvane.llm.features import NGrams
 from corvane.llm.native import held_out
 
@@ -33,6 +36,7 @@ class FtrlParams:
     l2: float = 0.0
     epochs: int = 6
     max_rows: int = 10_000
+    max_chars: int = 48_000_000
     seed: int = 7
 
 
@@ -84,22 +88,21 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, p: FtrlParams = FtrlPar
 def train(docs: DataFrame, labels: DataFrame, p: FtrlParams = FtrlParams(), folds: int = 5) -> ToxicModel:
     """Learns from labelled rows outside the held-out fold; each (doc_id, text) counts once."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"), folds))
-    known = bounded_share(known.groupBy("doc_id").agg(F.max("label").alias("label")), p.max_rows, "doc_id")
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
+    texts = training_texts(docs, known.groupBy("doc_id").agg(F.max("label").alias("label")), "label", p.max_rows, p.max_chars)
 
     def setup():
         grams = NGrams(p.bits, p.skips)
-        return lambda batch: {"at": [grams(t).astype(np.int32) for t in batch]}
 
-    got = map_texts(texts, "at array<int>", setup).orderBy("doc_id").toArrow()
-    seen, rows, y = set(), [], []
-    for at, label in zip(got.column("at"), got.column("label").to_pylist(), strict=True):
-        at = at.values.to_numpy(zero_copy_only=False)
-        if (key := (label, xxhash.xxh3_128_digest(at))) not in seen:  # copies teach nothing new
-            seen.add(key)
-            rows.append(at)
-            y.append(label)
-    return fit_ftrl(rows, np.array(y), p)
+        def work(batch: list) -> dict:
+            made = [grams(t).astype(np.int32) for t in batch]
+            return {"at": made, "digest": [xxhash.xxh3_64_intdigest(a) >> 1 for a in made]}
+
+        return work
+
+    got = map_texts(texts, "at array<int>, digest bigint", setup).groupBy("label", "digest").agg(F.first("at").alias("at")).toArrow()
+    order = np.lexsort((got.column("digest").to_numpy(), got.column("label").to_numpy()))
+    rows, y = got.column("at").combine_chunks(), got.column("label").to_numpy()
+    return fit_ftrl([rows[int(k)].values.to_numpy(zero_copy_only=False) for k in order], y[order], p)
 
 
 def score(docs: DataFrame, model: ToxicModel, folds: int = 5) -> DataFrame:
@@ -115,15 +118,14 @@ def score(docs: DataFrame, model: ToxicModel, folds: int = 5) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, p: FtrlParams = FtrlParams(), threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, that score under the threshold, in one narrow pass."""
+    """The rows of docs, all columns, that score under the threshold, in one narrow pass that sends each text once."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p))
 
     def setup():
         one = shared.value.scorer()
-        return lambda batch: {"_toxic": [one(t) for t in batch]}
+        return lambda batch: [one(t) < threshold for t in batch]
 
-    scored = map_texts(docs.withColumn("_text", F.col("text").cast("string")), "_toxic double", setup, text="_text")
-    return scored.where(F.col("_toxic") < threshold).select(*docs.columns)
+    return keep_where(docs, setup)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

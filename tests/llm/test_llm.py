@@ -211,7 +211,7 @@ def test_line_dedup(spark):
     texts += ["copy of the very same document here"] * 5 + ODD
     for most in (linededup.TreeParams().max_broadcast, 0):
         got = linededup.drop_recurring(docs(spark, texts), linededup.TreeParams(max_broadcast=most)).orderBy("doc_id").collect()
-        clean = [r["_clean"] for r in got]
+        clean = [r["text"] for r in got]
         assert clean[0] == texts[0]
         assert all(c.split("\n")[-1] == "Of." and line not in c and "shipped" not in c for c in clean[1:4])
         assert clean[4:] == texts[4:]
@@ -220,7 +220,7 @@ def test_line_dedup(spark):
 
 def kept_lines(spark, texts):
     got = linededup.drop_recurring(docs(spark, texts)).orderBy("doc_id").collect()
-    return [r["_clean"].split("\n") for r in got]
+    return [r["text"].split("\n") for r in got]
 
 
 def test_line_dedup_of_short_lines(spark):
@@ -256,7 +256,7 @@ def test_line_dedup_without_an_id(spark):
     texts = [f"{line}\n{x}" for x in ("one", "two", "three", "four")]
     for most in (linededup.TreeParams().max_broadcast, 0):
         got = linededup.drop_recurring(docs(spark, texts, [1, 2, None, 3]), linededup.TreeParams(max_broadcast=most)).collect()
-        assert {r["doc_id"]: r["_clean"] for r in got} == {1: texts[0], 2: "two", None: texts[2], 3: "four"}
+        assert {r["doc_id"]: r["text"] for r in got} == {1: texts[0], 2: "two", None: texts[2], 3: "four"}
 
 
 # pieces
@@ -347,17 +347,19 @@ def test_store_versions_conflicts_and_vacuum(spark, tmp_path):
     store.append(docs(spark, []))
     version, shards = store.manifest()
     assert version == 6 and len(shards) == 5
-    old = store.read(version).drop("_shard").collect()
+    old = store.read(version).drop("shard").collect()
     with pytest.raises(sharding.Conflict):
         store._publish(version, [])
     new = store.compact(sharding.Tiering(target_bytes=1 << 30, fanout=4))
     assert len(store.manifest()[1]) == 1 and new == version + 1
     key = lambda r: (str(r["doc_id"]), str(r["text"]))
-    assert sorted(store.read().drop("_shard").collect(), key=key) == sorted(old, key=key)
+    assert sorted(store.read().drop("shard").collect(), key=key) == sorted(old, key=key)
     assert store.read(version).count() == 10
     with pytest.raises(sharding.Conflict):
         store.commit([], shards[:1])
     assert store.vacuum() == 5 and store.versions() == [new]
+    store._write(docs(spark, ["lost"]), "new")
+    assert store.vacuum() == 0 and store.vacuum(orphan_hours=0) >= 1 and store.read().count() == 10
 
 
 def test_sharding_query_keeps_all(spark, small):
