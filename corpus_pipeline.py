@@ -5,8 +5,6 @@ Each stage reads what its predecessor kept, as written, and all but the last ret
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from corvane.llm.decontam import drop_contaminated
 from corvane.llm.linededup import drop_recurring
 from corvane.llm.ngram_join import keep_one
 from corvane.llm.pieces import encode
-from corvane.llm.store import _left, shared_folder
+from corvane.llm.store import shared_table_root
 from corvane.llm.toxicity import drop_toxic
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,8 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; n_chars is that of the text that stays. Every document stays."""
     clean = drop_recurring(docs.select(*COLUMNS))
-    length = F.when(F.col("_gone") > 0, F.length("_clean").cast("bigint")).otherwise(F.col("n_chars"))
-    return clean.select("doc_id", F.col("_clean").alias("text"), "lang", "source", length.alias("n_chars"))
+    length = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", length).select(*COLUMNS)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages on documents, each written to the shared folder as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    _left.append((spark, root))
+    root = shared_table_root(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
         docs = spark.read.parquet(f"{root}/{k}")
