@@ -10,6 +10,7 @@ pass unchanged, whatever their names.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Bytes of text that are Python strings at once.
-SLICE = 2_000_000
+#: Bytes of text that are Python strings at once, and of an Arrow batch between the JVM and a worker.
+SLICE, BATCH = 2_000_000, 4 << 20
 
 
 class Memo(dict):
@@ -45,6 +46,15 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def in_arrow(rows: DataFrame, run: Callable, schema) -> DataFrame:
+    """rows.mapInArrow with batches of about BATCH bytes: where the session has Spark's default of 64 MB, which several
+    tasks of an executor hold more than once each, inside and outside the JVM, it is lowered in the session."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(key)) or 0) == 64 << 20:
+        conf.set(key, str(BATCH))
+    return rows.mapInArrow(run, schema)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, with as many underscores behind it as make it none of the columns of df."""
     taken = {c.lower() for c in df.columns}
@@ -89,7 +99,7 @@ def map_texts(rows: DataFrame, schema: str, setup: Callable[[], Callable[[list],
                 yield pa.RecordBatch.from_arrays([b.column(n).cast(arrow.field(n).type) for n in names] + [pa.array(made[n], type=arrow.field(n).type) for n in new], schema=arrow)
 
     sent = names if text in names else [*names, text]
-    return rows.select(*[column(n) for n in sent]).mapInArrow(run, out)
+    return in_arrow(rows.select(*[column(n) for n in sent]), run, out)
 
 
 def keep_where(rows: DataFrame, setup: Callable[[], Callable[[list], list]], text: str = "text") -> DataFrame:
@@ -101,7 +111,7 @@ def keep_where(rows: DataFrame, setup: Callable[[], Callable[[list], list]], tex
             for b, texts in slices(batch, text):
                 yield b.filter(pa.array(good(texts), pa.bool_()))
 
-    return rows.mapInArrow(run, rows.schema)
+    return in_arrow(rows, run, rows.schema)
 
 
 def bounded_share(rows: DataFrame, limit: int, *by: Column, size: Column | None = None, seed: int = 17) -> DataFrame:

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.arrow import slices
+from corvane.llm.arrow import in_arrow, slices
 from corvane.llm.store import Tables, join_checked
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+>|[^>]*(?:>|\Z)))", re.S)
@@ -297,7 +297,7 @@ def _page_counts(pages: DataFrame, short: int) -> DataFrame:
                 cols = list(zip(*((h, t, r[0], r[1], r[2], r[3], _signed(r[4]), _signed(r[5]), *r[6:]) for (h, t), r in out.items()), strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return pages.select("host", "html").mapInArrow(run, STATS)
+    return in_arrow(pages.select("host", "html"), run, STATS)
 
 
 def deduce(rows: list[dict], p: TemplateParams = TemplateParams()) -> Template:
@@ -368,7 +368,7 @@ def templates(pages: DataFrame, p: TemplateParams = TemplateParams()) -> DataFra
                 cols = [part.column("host"), [list(t.walk) for t in made], [sorted(t.drop) for t in made], [sorted(t.texts) for t in made]]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, x) for c, x in zip(cols, kinds, strict=True)], names=["host", "walk", "drop", "texts"])
 
-    return hosts.mapInArrow(run, "host string, walk array<bigint>, drop array<bigint>, texts array<bigint>")
+    return in_arrow(hosts, run, "host string, walk array<bigint>, drop array<bigint>, texts array<bigint>")
 
 
 def main_texts(pages: DataFrame, p: TemplateParams = TemplateParams()) -> DataFrame:
@@ -388,7 +388,7 @@ def main_texts(pages: DataFrame, p: TemplateParams = TemplateParams()) -> DataFr
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    return both.mapInArrow(run, f"{ddl}, text string").withColumn("n_chars", F.length("text").cast("bigint"))
+    return in_arrow(both, run, f"{ddl}, text string").withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def op1_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ One more has every capitalised token after the leading ones and every one with a
 at least. A template needs fixed words for half of its tokens; where no pair of runs leaves them, one run is a wildcard
 (from `min_general` tokens on whatever stays), or none. Lines that share a template with fewer wildcards share those with more, so the
 former are only made where the latter are not. Fields among the leading tokens, in lower case in more than two runs, or
-of varying length are not generalised. A template is one hash (path, fixed tokens, kind); hence the tree is not held anywhere: counting
-the distinct texts of every template is one aggregation that combines before it shuffles, whatever the size of a
-leaf. A template in at least `min_docs` distinct texts recurs, from `long_tokens` tokens on in `long_docs`, and its
+of varying length are not generalised. A template is one hash, its leaf (path) in the high bits and its fixed tokens and
+kind in the others; hence no task holds the tree or a leaf: counting the distinct texts of every template is one
+aggregation that combines before it shuffles, whatever the size of a leaf. When lines are dropped, only those in leaves
+with a recurring template are parsed beyond their leading tokens. A template in at least `min_docs` distinct texts recurs, from `long_tokens` tokens on in `long_docs`, and its
 lines are dropped from all documents but the one with the smallest id.
 
 Lines of fewer than `min_tokens` tokens have one template, of all their tokens, and must be in more distinct texts to
@@ -32,6 +33,7 @@ added count is replaced by it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -44,12 +46,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from corvane.llm.arrow import Memo, column, fresh, slices
+from corvane.llm.arrow import column, fresh, in_arrow, slices
 from corvane.llm.store import Tables
 
 #: The lowest bit of a token's hash says that it is a word, with a letter and without a digit, the next that its first
 #: character is upper case.
 WILD = 0x9E3779B97F4A7C14
+#: Bits of a template's hash that tell its leaf.
+LEAF_BITS = 20
+DIGIT = re.compile(r"\d")
 #: Bytes of text whose lines are hashed together: their token arrays are some 20 times as large.
 PART = 500_000
 
@@ -72,35 +77,62 @@ class TreeParams:
         return [(1, self.least_docs), (3, self.few_docs), (self.min_tokens, self.min_docs), (self.long_tokens, self.long_docs)]
 
 
+class Tokens(dict):
+    """Hashes of tokens, WILD for those with a digit; emptied when it reaches about `most` bytes."""
+
+    def __init__(self, most: int = 64_000_000):
+        super().__init__()
+        self.most = self.left = most
+
+    def __missing__(self, raw: str) -> int:
+        self.left -= 190 + len(raw)
+        if self.left < 0:
+            self.clear()
+            self.left = self.most
+        if raw.isalpha():
+            value = xxhash.xxh3_64_intdigest(raw) & -4 | (3 if raw[0].isupper() else 1)
+        elif DIGIT.search(raw):
+            value = WILD
+        else:
+            value = xxhash.xxh3_64_intdigest(raw) & -4 | any(map(str.isalpha, raw)) | raw[0].isupper() << 1
+        self[raw] = value
+        return value
+
+
 class Templates:
     """The templates of lines, as signed 64-bit hashes; all lines of a part of a batch are hashed together."""
 
     def __init__(self, p: TreeParams):
         self.p = p
-        self.ids = Memo(self._token)
+        self.ids = Tokens()
         self.pairs = np.triu_indices(p.blocks, 1)
         rng = np.random.default_rng(5)
         self.odd = rng.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    @staticmethod
-    def _token(raw: str) -> int:
-        plain = raw.isalpha()
-        if not plain and any(map(str.isdigit, raw)):
-            return WILD
-        return xxhash.xxh3_64_intdigest(raw) & ~3 | (plain or any(map(str.isalpha, raw))) | raw[0].isupper() << 1
-
-    def __call__(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(templates, index of the line that each belongs to)."""
+    def _leaves(self, tokens: list[list[str]], n: np.ndarray) -> np.ndarray:
+        """The leaf of each line, some: its token count and its leading tokens."""
+        leaf = n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(self.p.lead):
+            some = np.flatnonzero(n > k)
+            leaf = (leaf ^ (leaf >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+            leaf[some] += np.fromiter((self.ids[tokens[j][k]] for j in some), np.uint64, len(some)) * np.uint64(0x165667B19E3779F9)
+        return (leaf ^ (leaf >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - LEAF_BITS)
+
+    def __call__(self, lines: list[str], live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(templates, index of the line that each belongs to); with `live` only of lines whose leaf it marks."""
         p = self.p
         tokens = [line.split() for line in lines]
         n = np.array([len(t) for t in tokens], np.int64)
         at = np.flatnonzero(n)
+        leaf = self._leaves([tokens[k] for k in at], n[at])
+        if live is not None:
+            at, leaf = at[live[leaf]], leaf[live[leaf]]
         if not len(at):
             return np.zeros(0, np.int64), at
         n = n[at]
         start, total = np.cumsum(n) - n, int(n.sum())
         x = np.zeros(total + 1, np.uint64)  # one more, for cuts at the end
-        x[:-1] = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(tokens)), np.uint64, total)
+        x[:-1] = np.fromiter(map(self.ids.__getitem__, chain.from_iterable([tokens[k] for k in at])), np.uint64, total)
         word, field, wild = (x & np.uint64(1)).astype(np.int64), (x & np.uint64(2)) > 0, x == np.uint64(WILD)
         while n.max() > len(self.odd):
             self.odd = np.concatenate([self.odd, self.odd * np.uint64(0xD6E8FEB86659FD93)])
@@ -116,7 +148,7 @@ class Templates:
             use[k] = any(map(str.isalpha, chain.from_iterable(own)))
         g = np.flatnonzero(~few)
         if not len(g):
-            return self._finish(whole[use], n[use], np.zeros(int(use.sum()), np.int64)), at[use]
+            return self._finish(whole[use], n[use], np.zeros(int(use.sum()), np.int64), leaf[use]), at[use]
         field = (field | wild)[:-1] & (place >= p.lead)
         n_field = np.add.reduceat(field.astype(np.int64), start)[g]
         cuts = start[g][:, None] + p.lead + np.arange(p.blocks + 1) * (n[g] - p.lead)[:, None] // p.blocks
@@ -135,13 +167,22 @@ class Templates:
         row, kind = np.nonzero(np.column_stack([none, one, pair, named]))
         short = np.flatnonzero(few & use)
         owner = np.concatenate([short, g[row]])
-        return self._finish(np.concatenate([whole[short], h[row, kind]]), n[owner], np.concatenate([np.zeros(len(short), np.int64), kind])), at[owner]
+        return self._finish(np.concatenate([whole[short], h[row, kind]]), n[owner], np.concatenate([np.zeros(len(short), np.int64), kind]), leaf[owner]), at[owner]
 
-    def _finish(self, h: np.ndarray, n: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    def _finish(self, h: np.ndarray, n: np.ndarray, kind: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """The leaf in the highest bits, what the template needs in the two lowest."""
         h = h ^ (n.astype(np.uint64) + kind.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0x165667B19E3779F9)
+        h = (h ^ (h >> np.uint64(29))) & np.uint64((1 << 64 - LEAF_BITS) - 4)
         need = np.searchsorted([k for k, _ in self.p.needs()], n, "right") - 1
-        return ((h ^ (h >> np.uint64(29))) & ~np.uint64(3) | need.astype(np.uint64)).view(np.int64)
+        return (h | leaf << np.uint64(64 - LEAF_BITS) | need.astype(np.uint64)).view(np.int64)
+
+
+def live_leaves(sigs: np.ndarray) -> np.ndarray:
+    """Marks the leaves that have one of the templates."""
+    live = np.zeros(1 << LEAF_BITS, bool)
+    live[sigs.view(np.uint64) >> np.uint64(64 - LEAF_BITS)] = True
+    return live
 
 
 def _hash(name: str) -> Column:
@@ -167,7 +208,7 @@ def _templates_of(rows: DataFrame, p: TreeParams) -> DataFrame:
                     at = pa.array(owner[new])
                     yield pa.RecordBatch.from_arrays([pa.array(sig[new]), *(b.column(f.name).take(at) for f in rest)], names=["sig", *(f.name for f in rest)])
 
-    return rows.mapInArrow(run, StructType([StructField("sig", LongType()), *rest]))
+    return in_arrow(rows, run, StructType([StructField("sig", LongType()), *rest]))
 
 
 def recurring(docs: DataFrame, p: TreeParams = TreeParams()) -> DataFrame:
@@ -187,11 +228,12 @@ def _dropping(rows: DataFrame, out: StructType, p: TreeParams, lookup: Callable,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, schema = Templates(p), to_arrow_schema(out)
         known, holder = lookup()
+        live = None if sigs else live_leaves(known)
         for batch in batches:
             for b, texts in slices(batch, "text", PART):
                 lines = [t.split("\n") if t else [] for t in texts]
                 count = [len(x) for x in lines]
-                sig, line = tree(list(chain.from_iterable(lines)))
+                sig, line = tree(list(chain.from_iterable(lines)), live)
                 drop: set[int] = set()
                 if len(sig):
                     owner = np.repeat(np.arange(len(texts)), count)[line]
@@ -217,7 +259,7 @@ def _dropping(rows: DataFrame, out: StructType, p: TreeParams, lookup: Callable,
                 made = {"text": kept, lines_at: count, gone_at: gone}
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) if f.name in made else b.column(f.name).cast(f.type) for f in schema], schema=schema)
 
-    return rows.mapInArrow(run, out)
+    return in_arrow(rows, run, out)
 
 
 def drop_recurring(docs: DataFrame, p: TreeParams = TreeParams(), lines: str = "n_lines", gone: str = "n_dropped") -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.arrow import Memo, slices
+from corvane.llm.arrow import Memo, in_arrow, slices
 from corvane.llm.store import Tables, join_checked
 
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -102,7 +102,7 @@ def _profile(rows: DataFrame, p: JaccardParams, with_grams: bool) -> DataFrame:
                     cols["blocks"] = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * p.parts), blocks)
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def _digest(grams: np.ndarray) -> int:
@@ -151,9 +151,9 @@ def live_counts(rows: DataFrame, p: JaccardParams, total: int) -> DataFrame:
         if done:
             yield _summed(done)
 
-    sent = rows.mapInArrow(split, "block int, gram binary, cls binary, times binary, mark binary")
+    sent = in_arrow(rows, split, "block int, gram binary, cls binary, times binary, mark binary")
     # sorted, so that a task holds one block at a time, of about `block` n-grams whatever the input
-    each = sent.repartition(max(2, blocks // 4), "block").sortWithinPartitions("block").mapInArrow(count, "cls bigint, live int")
+    each = in_arrow(sent.repartition(max(2, blocks // 4), "block").sortWithinPartitions("block"), count, "cls bigint, live int")
     return each.groupBy("cls").agg(F.sum("live").alias("live"))
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
-from corvane.llm.arrow import column, map_texts
+from corvane.llm.arrow import column, in_arrow, map_texts
 
 MARK = "▁"
 MAX_MODEL_MB = 64
@@ -306,7 +306,7 @@ def decode(rows: DataFrame, model_path: str = DEFAULT_MODEL, ids_col: str = "ids
                 texts = [codec.decode(i.values.to_numpy(zero_copy_only=False)) if i.is_valid else "" for i in part.column(ids_col)]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name).cast(schema.field(f.name).type) for f in kept), pa.array(texts, pa.string())], schema=schema)
 
-    return sent.mapInArrow(run, out)
+    return in_arrow(sent, run, out)
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
