@@ -10,7 +10,10 @@ pass unchanged, whatever their names.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,7 +55,20 @@ def in_arrow(rows: DataFrame, run: Callable, schema) -> DataFrame:
     conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(re.sub(r"\D", "", conf.get(key)) or 0) == 64 << 20:
         conf.set(key, str(BATCH))
-    return rows.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return rows.mapInArrow(tidy, schema)
+
+
+def trim() -> None:
+    """Gives back to the system what a task has freed: idle workers stay beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def fresh(df: DataFrame, name: str) -> str:

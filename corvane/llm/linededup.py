@@ -9,8 +9,9 @@ at least. A template needs fixed words for half of its tokens; where no pair of
 former are only made where the latter are not. Fields among the leading tokens, in lower case in more than two runs, or
 of varying length are not generalised. A template is one hash, its leaf (path) in the high bits and its fixed tokens and
 kind in the others; hence no task holds the tree or a leaf: counting the distinct texts of every template is one
-aggregation that combines before it shuffles, whatever the size of a leaf. When lines are dropped, only those in leaves
-with a recurring template are parsed beyond their leading tokens. A template in at least `min_docs` distinct texts recurs, from `long_tokens` tokens on in `long_docs`, and its
+aggregation that combines before it shuffles, whatever the size of a leaf. The levels of the tree are counted in turn:
+only leaves that lines of two distinct texts have are parsed to templates, and when lines are dropped only those with a
+recurring template. A template in at least `min_docs` distinct texts recurs, from `long_tokens` tokens on in `long_docs`, and its
 lines are dropped from all documents but the one with the smallest id.
 
 Lines of fewer than `min_tokens` tokens have one template, of all their tokens, and must be in more distinct texts to
@@ -110,23 +111,31 @@ class Templates:
         self.odd = rng.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def _leaves(self, tokens: list[list[str]], n: np.ndarray) -> np.ndarray:
-        """The leaf of each line, some: its token count and its leading tokens."""
+        """The leaf of each line: a hash of its token count and its leading tokens."""
         leaf = n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for k in range(self.p.lead):
             some = np.flatnonzero(n > k)
             leaf = (leaf ^ (leaf >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
             leaf[some] += np.fromiter((self.ids[tokens[j][k]] for j in some), np.uint64, len(some)) * np.uint64(0x165667B19E3779F9)
-        return (leaf ^ (leaf >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - LEAF_BITS)
+        return (leaf ^ (leaf >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
-    def __call__(self, lines: list[str], live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(templates, index of the line that each belongs to); with `live` only of lines whose leaf it marks."""
+    def leaves(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(leaves as signed numbers, index of the line that each belongs to)."""
+        tokens = [line.split() for line in lines]
+        n = np.array([len(t) for t in tokens], np.int64)
+        at = np.flatnonzero(n)
+        return self._leaves([tokens[k] for k in at], n[at]).view(np.int64), at
+
+    def __call__(self, lines: list[str], live: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(templates, index of the line that each belongs to); with `live` only of lines of whose leaf it says True."""
         p = self.p
         tokens = [line.split() for line in lines]
         n = np.array([len(t) for t in tokens], np.int64)
         at = np.flatnonzero(n)
         leaf = self._leaves([tokens[k] for k in at], n[at])
         if live is not None:
-            at, leaf = at[live[leaf]], leaf[live[leaf]]
+            some = live(leaf)
+            at, leaf = at[some], leaf[some]
         if not len(at):
             return np.zeros(0, np.int64), at
         n = n[at]
@@ -175,13 +184,26 @@ class Templates:
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0x165667B19E3779F9)
         h = (h ^ (h >> np.uint64(29))) & np.uint64((1 << 64 - LEAF_BITS) - 4)
         need = np.searchsorted([k for k, _ in self.p.needs()], n, "right") - 1
-        return (h | leaf << np.uint64(64 - LEAF_BITS) | need.astype(np.uint64)).view(np.int64)
+        return (h | leaf & ~np.uint64((1 << 64 - LEAF_BITS) - 1) | need.astype(np.uint64)).view(np.int64)
 
 
-def live_leaves(sigs: np.ndarray) -> np.ndarray:
-    """Marks the leaves that have one of the templates."""
+def marked(sigs: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Says True of leaves that have one of the templates, and of few others, by the leaf's highest bits."""
+    shift = np.uint64(64 - LEAF_BITS)
     live = np.zeros(1 << LEAF_BITS, bool)
-    live[sigs.view(np.uint64) >> np.uint64(64 - LEAF_BITS)] = True
+    live[sigs.view(np.uint64) >> shift] = True
+    return lambda leaf: live[leaf >> shift]
+
+
+def among(leaves: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Says True of the leaves in a sorted array."""
+
+    def live(leaf: np.ndarray) -> np.ndarray:
+        own = leaf.view(np.int64)
+        if not len(leaves):
+            return np.zeros(len(own), bool)
+        return leaves[np.minimum(np.searchsorted(leaves, own), len(leaves) - 1)] == own
+
     return live
 
 
@@ -190,16 +212,38 @@ def _hash(name: str) -> Column:
     return F.when(column(name).isNotNull(), F.xxhash64(column(name)))
 
 
-def _templates_of(rows: DataFrame, p: TreeParams) -> DataFrame:
-    """(sig, and the other columns of rows) once for each distinct template of a row's text."""
-    rest = [f for f in rows.schema.fields if f.name != "text"]
+def _crowded(rows: DataFrame, p: TreeParams) -> DataFrame:
+    """The leaves (leaf) that lines of two distinct texts or more have. rows: text and its hash t."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Templates(p)
+        for batch in batches:
+            for b, texts in slices(batch, "text"):
+                lines = [t.split("\n") if t else [] for t in texts]
+                leaf, line = tree.leaves(list(chain.from_iterable(lines)))
+                if len(leaf):
+                    own = b.column("t").to_numpy()[np.repeat(np.arange(len(texts)), [len(x) for x in lines])[line]]
+                    order = np.argsort(leaf, kind="stable")
+                    leaf, own = leaf[order], own[order]
+                    first = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
+                    made = (leaf[first], np.minimum.reduceat(own, first), np.maximum.reduceat(own, first))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["leaf", "lo", "hi"])
+
+    each = in_arrow(rows, run, "leaf bigint, lo bigint, hi bigint")
+    return each.groupBy("leaf").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("leaf")
+
+
+def _templates_of(rows: DataFrame, p: TreeParams, live: Callable | None = None) -> DataFrame:
+    """(sig, and the other columns of rows) once for each distinct template of a row's text; live() gives on the worker
+    what says which leaves matter."""
+    rest = [f for f in rows.schema.fields if f.name != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, some = Templates(p), live and live()
         for batch in batches:
             for b, texts in slices(batch, "text", PART):
                 lines = [t.split("\n") if t else [] for t in texts]
-                sig, line = tree(list(chain.from_iterable(lines)))
+                sig, line = tree(list(chain.from_iterable(lines)), some)
                 if len(sig):
                     owner = np.repeat(np.arange(len(texts)), [len(x) for x in lines])[line]
                     order = np.lexsort((sig, owner))
@@ -213,8 +257,13 @@ def _templates_of(rows: DataFrame, p: TreeParams) -> DataFrame:
 
 def recurring(docs: DataFrame, p: TreeParams = TreeParams()) -> DataFrame:
     """(sig, n_docs, first_id) of the templates in as many distinct texts as they need."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    each = _templates_of(rows.select("text", F.xxhash64("text").alias("t"), "doc_id"), p)
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("t"), "doc_id")
+    leaves = Tables(docs.sparkSession, "leaves").write(_crowded(rows.select("text", "t"), p), "crowded")
+    live = None
+    if leaves.count() <= p.max_broadcast:  # otherwise all leaves are parsed, with the same result
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(leaves.toArrow().column("leaf").to_numpy()))
+        live = lambda: among(shared.value)
+    each = _templates_of(rows, p, live)
     once = each.groupBy("sig", "t").agg(F.min("doc_id").alias("doc_id"))
     need = F.array(*[F.lit(k) for _, k in p.needs()])[F.col("sig").bitwiseAND(3)]
     return once.groupBy("sig").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id")).where(F.col("n_docs") >= need)
@@ -228,7 +277,7 @@ def _dropping(rows: DataFrame, out: StructType, p: TreeParams, lookup: Callable,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, schema = Templates(p), to_arrow_schema(out)
         known, holder = lookup()
-        live = None if sigs else live_leaves(known)
+        live = None if sigs else marked(known)
         for batch in batches:
             for b, texts in slices(batch, "text", PART):
                 lines = [t.split("\n") if t else [] for t in texts]

@@ -45,7 +45,7 @@ MAX_MODEL_MB = 64
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
 #: What a worker remembers of pairs of pieces, and of words and their ids, in bytes.
-PAIR_BYTES, WORD_BYTES = 64_000_000, 96_000_000
+PAIR_BYTES, WORD_BYTES = 48_000_000, 64_000_000
 
 
 def _fields(data: bytes):
