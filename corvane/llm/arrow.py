@@ -144,6 +144,11 @@ def bounded_share(rows: DataFrame, limit: int, *by: Column, size: Column | None
     return rows.where(F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(unit)) < int(limit / total * unit))
 
 
+def lists(table: pa.Table, *names: str) -> list[tuple]:
+    """The list columns of a collected table as NumPy views of its chunks, a tuple for each row."""
+    return list(zip(*([v.values.to_numpy(zero_copy_only=False) for chunk in table.column(n).chunks for v in chunk] for n in names), strict=True))
+
+
 def training_texts(docs: DataFrame, known: DataFrame, label: str, max_rows: int, max_chars: int) -> DataFrame:
     """(doc_id, label, text) of a bounded share of the labelled rows: about `max_rows` ids of `known` and about
     `max_chars` characters of their texts, chosen by hashes of the id. `known` has one row an id; it is broadcast,

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.arrow import Memo, bounded_share, map_texts
+from corvane.llm.arrow import Memo, bounded_share, map_texts, trim
 from corvane.llm.native import held_out
 
 UNKNOWN = "und"
@@ -109,23 +109,23 @@ def letters(raw: str) -> str:
     return low if low.isalpha() else "".join(c for c in low if c.isalpha())
 
 
-def build(counts: list[tuple[str, str, int]], docs_by_lang: dict[str, int], p: LangParams = LangParams()) -> LangModel:
-    """counts: (language, word, count)."""
+def build(lang: list[str], word: list[str], n: np.ndarray, docs_by_lang: dict[str, int], p: LangParams = LangParams()) -> LangModel:
+    """Language, word and count of each pair that occurs."""
     langs = sorted(docs_by_lang)
     at = {name: k for k, name in enumerate(langs)}
     n_docs = sum(docs_by_lang.values()) or 1
     prior = np.array([math.log(docs_by_lang[name] / n_docs) for name in langs])
     words: dict[str, int] = {}
-    row = np.array([words.setdefault(w, len(words)) for _, w, _ in counts], np.int64)
+    row = np.array([words.setdefault(w, len(words)) for w in word], np.int64)
     weight = np.zeros((len(words), len(langs)), np.float32)
-    np.add.at(weight, (row, np.array([at[lang] for lang, _, _ in counts], np.int64)), np.array([n for _, _, n in counts], np.float32))
+    np.add.at(weight, (row, np.array([at[x] for x in lang], np.int64)), n)
     damped, grams = np.log1p(weight), []
     for k in range(1, p.max_gram + 1):
         names: dict[str, int] = {}
-        of = [(names.setdefault(m[i : i + k], len(names)), j) for w, j in words.items() for m in (f"<{w}>",) for i in range(len(m) - k + 1)]
-        to = np.array(of, np.int64).reshape(-1, 2)
+        to = np.fromiter((names.setdefault(m[i : i + k], len(names)) for w in words for m in (f"<{w}>",) for i in range(len(m) - k + 1)), np.int32)
+        of = np.repeat(np.arange(len(words)), [max(0, len(w) + 3 - k) for w in words])
         sums = np.zeros((len(names), len(langs)), np.float32)
-        np.add.at(sums, to[:, 0], damped[to[:, 1]])
+        np.add.at(sums, to, damped[of])
         grams.append(Logs.of(names, sums))
     return LangModel(p, langs, prior - prior.max() if len(langs) else prior, Logs.of(words, weight), grams)
 
@@ -143,7 +143,11 @@ def train(docs: DataFrame, p: LangParams = LangParams(), folds: int = 5) -> Lang
     share = bounded_share(known.where(part < most), p.max_chars, F.col("doc_id"), size=F.length("text"), seed=18)
     token = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
     counts = share.select("lang", token).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    return build([tuple(r) for r in counts.collect()], docs_by_lang, p)
+    got = counts.orderBy("lang", "word").toArrow()
+    model = build(got.column("lang").to_pylist(), got.column("word").to_pylist(), got.column("n").to_numpy(), docs_by_lang, p)
+    del got
+    trim()
+    return model
 
 
 def predict(docs: DataFrame, model: LangModel, folds: int = 5) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.arrow import map_texts, training_texts
+from corvane.llm.arrow import lists, map_texts, training_texts, trim
 from corvane.llm.features import TextShape
 from corvane.llm.native import held_out
 
@@ -93,10 +93,12 @@ def train(docs: DataFrame, ratings: DataFrame, p: OrdinalParams = OrdinalParams(
 
     one = map_texts(texts, "at array<int>, x array<float>, digest bigint", setup).groupBy("grade", "digest")
     got = one.agg(F.first(F.struct("at", "x")).alias("row")).select("grade", "digest", "row.at", "row.x").toArrow()
-    order = np.lexsort((got.column("digest").to_numpy(), got.column("grade").to_numpy()))
-    at, x = (got.column(c).combine_chunks() for c in ("at", "x"))
-    flat = lambda c, k: c[int(k)].values.to_numpy(zero_copy_only=False)
-    return fit_ordinal([(flat(at, k), flat(x, k)) for k in order], got.column("grade").to_numpy()[order].astype(np.int64), p)
+    y, rows = got.column("grade").to_numpy().astype(np.int64), lists(got, "at", "x")
+    order = np.lexsort((got.column("digest").to_numpy(), y))
+    model = fit_ordinal([rows[k] for k in order], y[order], p)
+    del got, rows
+    trim()
+    return model
 
 
 def rate(docs: DataFrame, model: OrdinalModel, tail: int = 1, keep_at: float = 0.5, folds: int = 5) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.arrow import keep_where, map_texts, training_texts
+from corvane.llm.arrow import keep_where, lists, map_texts, training_texts, trim
 from corvane.llm.features import NGrams
 from corvane.llm.native import held_out
 
@@ -100,9 +100,12 @@ def train(docs: DataFrame, labels: DataFrame, p: FtrlParams = FtrlParams(), fold
         return work
 
     got = map_texts(texts, "at array<int>, digest bigint", setup).groupBy("label", "digest").agg(F.first("at").alias("at")).toArrow()
-    order = np.lexsort((got.column("digest").to_numpy(), got.column("label").to_numpy()))
-    rows, y = got.column("at").combine_chunks(), got.column("label").to_numpy()
-    return fit_ftrl([rows[int(k)].values.to_numpy(zero_copy_only=False) for k in order], y[order], p)
+    y, rows = got.column("label").to_numpy(), lists(got, "at")
+    order = np.lexsort((got.column("digest").to_numpy(), y))
+    model = fit_ftrl([rows[k][0] for k in order], y[order], p)
+    del got, rows
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicModel, folds: int = 5) -> DataFrame:
