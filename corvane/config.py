@@ -31,16 +31,12 @@ class ClusterConfig:
 class SeriesConfig:
     lags: int = 15
     min_dimension: int = 5
-    train_share: float = 0.7
     max_iter: int = 40
     reg_param: float = 0.01
-    seed: int = 42
 
 
 @dataclass(frozen=True)
 class RatingConfig:
-    train_share: float = 0.8
     pool: int = 25
     neighbours: tuple[int, ...] = (5, 10, 15, 20, 25)
     min_common: int = 2
-    seed: int = 42

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 def shingles(text: Column, k: int = 4) -> Column:
     """Sorted distinct k-character pieces of the lower-cased text; empty if it is shorter."""
-    low = F.lower(text)
     empty = F.array().cast("array<string>")
-    pieces = F.transform(F.sequence(F.lit(1), F.length(low) - (k - 1)), lambda i: F.substring(low, i, F.lit(k)))
-    return F.when(F.length(low) >= k, F.array_sort(F.array_distinct(pieces))).otherwise(empty)
+
+    def pieces(low: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(low) - (k - 1)), lambda i: F.substring(low, i, F.lit(k)))
+        return F.when(F.length(low) >= k, F.array_sort(F.array_distinct(cut))).otherwise(empty)
+
+    # bound as a lambda variable, so that the text is lowered once and not for every piece
+    return F.get(F.transform(F.array(F.lower(text)), pieces), F.lit(0))
 
 
 def jaccard_distance(left: Column, right: Column) -> Column:

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from corvane.config import ClusterConfig
 from corvane.functions.text import shingles
+from corvane.operators.checkpoints import cut
 from corvane.sources.files import number_range
 
 
-def _draw(n: int, *key: Column) -> Column:
-    """A number 0 .. n-1 that depends on the key only."""
-    return F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+def _draw(n: int | Column, *key: Column) -> Column:
+    """A number 0 .. n-1 that depends on the key only: the first 13 hex digits of the MD5 of its parts, modulo n."""
+    digits = F.substring(F.md5(F.concat_ws(",", *[k.cast("string") for k in key])), 1, 13)
+    return F.pmod(F.conv(digits, 16, 10).cast("bigint"), n if isinstance(n, Column) else F.lit(n)).cast("int")
 
 
 def _letter(*key: Column) -> Column:
@@ -30,7 +32,7 @@ def string_corpus(spark: SparkSession, c: ClusterConfig = ClusterConfig()) -> Da
     edits = F.sequence(F.lit(1), 4 + _draw(6, seed, index, F.lit("e")))
 
     def edit(s: Column, k: Column) -> Column:
-        n, at, new, kind = F.length(s), F.pmod(F.xxhash64(seed, index, k, F.lit("p")), F.length(s)).cast("int"), _letter(seed, index, k, F.lit("c")), _draw(3, seed, index, k, F.lit("k"))
+        n, at, new, kind = F.length(s), _draw(F.length(s), seed, index, k, F.lit("p")), _letter(seed, index, k, F.lit("c")), _draw(3, seed, index, k, F.lit("k"))
         head, tail, rest = F.substring(s, F.lit(1), at), F.substring(s, at + 1, n), F.substring(s, at + 2, n)
         return F.when(kind == 0, F.concat(head, new, rest)).when((kind == 1) & (n < c.max_length), F.concat(head, new, tail)).when((kind == 2) & (n > c.min_length), F.concat(head, rest)).otherwise(s)
 
@@ -40,7 +42,7 @@ def string_corpus(spark: SparkSession, c: ClusterConfig = ClusterConfig()) -> Da
     return rows.select("index", "prototype_id", F.when(_draw(2, seed, index, F.lit("m")) == 0, loud).otherwise(F.col("plain")).alias("string"))
 
 
-def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int = 2_500) -> DataFrame:
+def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int = ClusterConfig.plot_sample) -> DataFrame:
     """Rows of every stratum by its share of n, rounded half to even and at least 1, then at most n of all.
 
     Which rows: the first by the MD5 of their key.
@@ -54,9 +56,9 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int = 2_500) -
     return taken.orderBy(order, key).limit(n).select(*rows.columns)
 
 
-def gram_vectors(strings: DataFrame, k: int = 4, most: int = 1 << 19) -> DataFrame:
+def gram_vectors(strings: DataFrame, k: int = ClusterConfig.shingle, most: int = 1 << 19) -> DataFrame:
     """(id, features): binary vectors over all character k-grams that occur; more than `most` of them are refused."""
-    sets = strings.select("id", shingles(F.col("string"), k).alias("grams"))
+    sets = cut(strings.select("id", shingles(F.col("string"), k).alias("grams")))
     n = sets.select(F.explode("grams")).distinct().count()
     if n > most:
         raise ValueError(f"{n} distinct {k}-grams, more than the {most} that the driver is to hold")

@@ -1,5 +1,4 @@
-"""How the operators' inputs come from the star-schema tables, for Spark and for DuckDB. All are whole tables but
-the strings, which are the user turns of conversations only."""
+"""How the operators' inputs come from the star-schema tables, for Spark and for DuckDB. All are whole tables."""
 
 from __future__ import annotations
 
@@ -10,12 +9,12 @@ from corvane.sources.files import table
 
 
 def strings(spark, sf_dir: str) -> DataFrame:
-    """(id, string): what users said, whole texts."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL")
+    """(id, string): every turn of conversations that has a text, whole texts."""
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
     return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("string"))
 
 
-STRINGS = "strings AS (SELECT conv_id * 1000 + turn AS id, text AS string FROM conversations WHERE role = 'user' AND text IS NOT NULL)"
+STRINGS = "strings AS (SELECT conv_id * 1000 + turn AS id, text AS string FROM conversations WHERE text IS NOT NULL)"
 SETS = STRINGS + """,
 low AS (SELECT id, lower(string) AS s FROM strings),
 sets AS (SELECT id, list_sort(list_distinct(list_transform(range(1, greatest(length(s) - 2, 1)), lambda i: substring(s, i, 4)))) AS shingles FROM low)"""

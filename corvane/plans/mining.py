@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.config import ClusterConfig, RatingConfig, SeriesConfig
+from corvane.config import RatingConfig, SeriesConfig
+from corvane.functions.vectors import as_vector
 from corvane.operators import cluster, linalg, recsys, regress, similarity, timeseries
 from corvane.operators import strings as corpus
 from corvane.operators.checkpoints import cut
@@ -21,17 +25,14 @@ def _sets(spark, sf_dir) -> DataFrame:
     return similarity.with_shingles(I.strings(spark, sf_dir))
 
 
-def _pairs(spark, sf_dir) -> DataFrame:
-    return similarity.shared_pairs(_sets(spark, sf_dir))
-
-
 def _neighbours(spark, sf_dir) -> DataFrame:
-    return similarity.nearest(_pairs(spark, sf_dir))
+    return similarity.nearest(_sets(spark, sf_dir))
 
 
-@query(f"WITH {I.PAIRS} SELECT l, r, shared, round(dist, 9) AS dist FROM pairs")
+@query(f"WITH {I.PAIRS} SELECT l, r, shared, round(dist, 9) AS dist FROM pairs WHERE dist <= 0.85e0")
 def jaccard_pairs(spark, sf_dir) -> DataFrame:
-    return _pairs(spark, sf_dir).withColumn("dist", F.round("dist", 9))
+    """Pairs up to the largest distance that can merge."""
+    return similarity.similar_pairs(_sets(spark, sf_dir)).withColumn("dist", F.round("dist", 9))
 
 
 @query(f"WITH {I.PAIRS} SELECT l, r, round(dist, 9) AS dist, rk::INT AS rk FROM nn")
@@ -46,11 +47,11 @@ def merge_threshold(spark, sf_dir) -> DataFrame:
 
 
 def _assigned(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(candidate pairs, components at the merge threshold); the pairs are written once."""
-    pairs = cut(_pairs(spark, sf_dir))
-    limit = similarity.merge_threshold(similarity.nearest(pairs)).select("threshold")
-    edges = pairs.join(F.broadcast(limit), F.lit(True)).where("dist <= threshold").select("l", "r")
-    return pairs, cut(cluster.components(I.strings(spark, sf_dir), edges))
+    """(sets, components at the merge threshold)."""
+    sets = cut(_sets(spark, sf_dir))
+    limit = similarity.merge_threshold(similarity.nearest(sets)).first()["threshold"]
+    edges = similarity.spanning_edges(sets, -1.0 if limit is None else limit)
+    return sets, cut(cluster.components(sets, edges))
 
 
 @query(f"WITH RECURSIVE {I.COMPONENTS} SELECT id, cluster_id FROM comp")
@@ -79,27 +80,26 @@ SELECT cluster_id, size, round(coalesce(avg_dist, 0), 9) AS avg_dist, round(coal
 FROM (SELECT cluster_id, count(*) AS size FROM comp GROUP BY 1) LEFT JOIN s USING (cluster_id)"""
 )
 def cluster_stats(spark, sf_dir) -> DataFrame:
-    stats = cluster.cluster_stats(_assigned(spark, sf_dir)[1], _sets(spark, sf_dir))
+    sets, placed = _assigned(spark, sf_dir)
+    stats = cluster.cluster_stats(placed, sets)
     return stats.withColumns({"avg_dist": F.round("avg_dist", 9), "diameter": F.round("diameter", 9)})
 
 
-_LINK = """link AS (SELECT least(a.cluster_id, b.cluster_id) AS a, greatest(a.cluster_id, b.cluster_id) AS b, min(dist) AS dist
-    FROM pairs JOIN comp a ON a.id = l JOIN comp b ON b.id = r WHERE a.cluster_id <> b.cluster_id GROUP BY 1, 2)"""
+_ANCHORS = "anchors AS (SELECT cluster_id, size, row_number() OVER (ORDER BY size DESC, cluster_id) AS rank FROM (SELECT cluster_id, count(*) AS size FROM comp GROUP BY 1) ORDER BY rank LIMIT 25)"
+_LINK = _ANCHORS + """,
+link AS (SELECT a.cluster_id, b.cluster_id AS anchor_id, min(dist) AS dist FROM ways JOIN comp a ON a.id = l JOIN comp b ON b.id = r
+    WHERE a.cluster_id <> b.cluster_id AND b.cluster_id IN (SELECT cluster_id FROM anchors) GROUP BY 1, 2)"""
 
 
-@query(f"WITH RECURSIVE {I.COMPONENTS}, {_LINK} SELECT a, b, round(dist, 9) AS dist FROM link")
+@query(f"WITH RECURSIVE {I.COMPONENTS}, {_LINK} SELECT cluster_id, anchor_id, round(dist, 9) AS dist FROM link")
 def min_link(spark, sf_dir) -> DataFrame:
-    pairs, placed = _assigned(spark, sf_dir)
-    return cluster.min_link(pairs, placed).withColumn("dist", F.round("dist", 9))
+    return cluster.min_link(*_assigned(spark, sf_dir)).withColumn("dist", F.round("dist", 9))
 
 
 @query(f"WITH RECURSIVE {I.COMPONENTS} SELECT DISTINCT a.cluster_id, b.cluster_id AS other FROM nn JOIN comp a ON a.id = l JOIN comp b ON b.id = r WHERE a.cluster_id <> b.cluster_id")
 def neighbour_clusters(spark, sf_dir) -> DataFrame:
-    pairs, placed = _assigned(spark, sf_dir)
-    return cluster.neighbour_clusters(similarity.nearest(pairs), placed)
-
-
-_ANCHORS = "anchors AS (SELECT cluster_id, size, row_number() OVER (ORDER BY size DESC, cluster_id) AS rank FROM (SELECT cluster_id, count(*) AS size FROM comp GROUP BY 1) ORDER BY rank LIMIT 25)"
+    sets, placed = _assigned(spark, sf_dir)
+    return cluster.neighbour_clusters(similarity.nearest(sets), placed)
 
 
 @query(f"WITH RECURSIVE {I.COMPONENTS}, {_ANCHORS} SELECT cluster_id, size, rank::INT AS rank FROM anchors")
@@ -108,9 +108,8 @@ def anchors(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {I.COMPONENTS}, {_LINK}, {_ANCHORS},
-ways2 AS (SELECT a AS c, b AS o, dist FROM link UNION ALL SELECT b, a, dist FROM link),
-near AS (SELECT c, min_by(o, (dist, rank)) AS o FROM ways2 JOIN anchors ON cluster_id = o WHERE dist < 1 GROUP BY c)
+    f"""WITH RECURSIVE {I.COMPONENTS}, {_LINK},
+near AS (SELECT link.cluster_id AS c, min_by(anchor_id, (dist, rank)) AS o FROM link JOIN anchors ON anchors.cluster_id = anchor_id WHERE dist < 1 GROUP BY 1)
 SELECT DISTINCT x.cluster_id, CASE WHEN a.cluster_id IS NOT NULL THEN x.cluster_id ELSE coalesce(near.o, (SELECT cluster_id FROM anchors WHERE rank = 1)) END AS anchor_id
 FROM comp x LEFT JOIN anchors a USING (cluster_id) LEFT JOIN near ON near.c = x.cluster_id"""
 )
@@ -119,9 +118,10 @@ def consolidated(spark, sf_dir) -> DataFrame:
 
 
 def _history(spark, sf_dir) -> tuple[DataFrame, DataFrame, float]:
-    near = cut(_neighbours(spark, sf_dir))
+    sets = cut(_sets(spark, sf_dir))
+    near = cut(similarity.nearest(sets))
     limit = similarity.merge_threshold(near).first()["threshold"] or 0.0
-    return *cluster.merge_history(_sets(spark, sf_dir), near, limit), limit
+    return *cluster.merge_history(sets, near, limit), limit
 
 
 @query()
@@ -131,8 +131,9 @@ def merge_history(spark, sf_dir) -> DataFrame:
 
 @query()
 def run_summary(spark, sf_dir) -> DataFrame:
+    began = time.perf_counter()
     history, placed, limit = _history(spark, sf_dir)
-    return cluster.run_summary(history, placed, limit, 0.0)
+    return cluster.run_summary(history, placed, limit, time.perf_counter() - began)
 
 
 _JUMP = f"""{I.PRICES}, s AS (SELECT day, price AS x FROM prices),
@@ -174,15 +175,24 @@ def gram_projection(spark, sf_dir) -> DataFrame:
     return linalg.sparse_svd_projection(corpus.gram_vectors(I.strings(spark, sf_dir)), "id", 25)
 
 
-@query()
-def plot_projection(spark, sf_dir) -> DataFrame:
-    """Three principal components of the embeddings as plot coordinates."""
-    from corvane.functions.vectors import as_vector
+@query(
+    f"""WITH {I.SETS}, g AS (SELECT unnest(shingles) AS gram FROM sets) SELECT gram, count(*) AS strings FROM g GROUP BY 1"""
+)
+def gram_frequencies(spark, sf_dir) -> DataFrame:
+    """The vocabulary of the gram vectors: in how many strings each 4-gram is."""
+    return _sets(spark, sf_dir).select(F.explode("shingles").alias("gram")).groupBy("gram").agg(F.count("*").alias("strings"))
 
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), as_vector(F.col("embedding")).alias("features"))
-    from pyspark.ml.functions import vector_to_array
 
-    return corpus.plane(rows).select("id", vector_to_array("coords").alias("coords"))
+@query()
+def plot_projection(spark, sf_dir) -> DataFrame:
+    """Plot coordinates of a sample of the strings, stratified by consolidated cluster: gram vectors, 25 singular
+    directions, three principal components of these."""
+    sets, placed = _assigned(spark, sf_dir)
+    group = placed.join(cluster.consolidate(sets, placed), "cluster_id").select("id", "anchor_id")
+    sample = cut(corpus.stratified_sample(I.strings(spark, sf_dir).join(group, "id"), "anchor_id", "id"))
+    flat = linalg.sparse_svd_projection(corpus.gram_vectors(sample), "id", 25)
+    plane = corpus.plane(flat.select("id", as_vector(F.col("coords")).alias("features")))
+    return plane.join(sample, "id").select("id", "anchor_id", vector_to_array("coords").alias("coords"))
 
 
 # lag regression
@@ -210,6 +220,14 @@ def split_counts(spark, sf_dir) -> DataFrame:
     return _samples(spark, sf_dir).groupBy(part.alias("part")).agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {I.LAGS} SELECT count(*) AS n, 0::BIGINT AS twice FROM samples")
+def random_split(spark, sf_dir) -> DataFrame:
+    """Spark's random split: its parts hold every sample once."""
+    train, test = timeseries.random_split(_samples(spark, sf_dir), 0.7)
+    both = train.select("day").unionAll(test.select("day"))
+    return both.agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("day")).alias("twice"))
+
+
 @query(f"WITH {I.LAGS} SELECT round(sqrt(avg((lag_1 - label) * (lag_1 - label))), 4) AS rmse, count(*) AS n FROM samples WHERE (day - DATE '1970-01-01') % 10 >= 7")
 def naive_rmse(spark, sf_dir) -> DataFrame:
     test = timeseries.key_split(_samples(spark, sf_dir), _day_key())[1]
@@ -232,12 +250,30 @@ def leverage(spark, sf_dir) -> DataFrame:
 @query()
 def cur_embedding(spark, sf_dir) -> DataFrame:
     train, _ = _matrix(spark, sf_dir)
-    return linalg.cur_embedding(train, linalg.svd_basis(train), 5).select("day", "features", "label")
+    return linalg.cur_embedding(train, linalg.svd_basis(train), SeriesConfig.min_dimension).select("day", "features", "label")
+
+
+@query()
+def cur_factors(spark, sf_dir) -> DataFrame:
+    """U and R of the CUR decomposition at the smallest dimension."""
+    train, _ = _matrix(spark, sf_dir)
+    return linalg.cur_factors(train, linalg.svd_basis(train), "day", SeriesConfig.min_dimension)
+
+
+_GRAM = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, sum(a{i} * a{j}) AS g FROM m" for i in range(15) for j in range(i, 15))
+
+
+@query(f"WITH {I.LAGS}, m AS (SELECT " + ", ".join(f"lag_{i} / 1000 AS a{i - 1}" for i in range(1, 16)) + f" FROM samples WHERE (day - DATE '1970-01-01') % 10 < 7) SELECT i::INT AS i, j::INT AS j, round(g, 3) AS g FROM ({_GRAM})")
+def gram_matrix(spark, sf_dir) -> DataFrame:
+    """The sums of products of columns of which the singular vectors and leverage scores are made."""
+    basis = linalg.svd_basis(_matrix(spark, sf_dir)[0])
+    gram = (basis.v * basis.singular**2) @ basis.v.T
+    return spark.createDataFrame([(i, j, round(float(gram[i, j]), 3)) for i in range(15) for j in range(i, 15)], "i int, j int, g double")
 
 
 @query()
 def embedding_preview(spark, sf_dir) -> DataFrame:
-    return linalg.embedding_preview(cur_embedding(spark, sf_dir), "day", 5)
+    return linalg.embedding_preview(cur_embedding(spark, sf_dir), "day", SeriesConfig.min_dimension)
 
 
 @query()
@@ -322,10 +358,27 @@ def item_postings(spark, sf_dir) -> DataFrame:
     return recsys.postings(_split(spark, sf_dir)[0]).withColumn("users", F.array_join("users", ","))
 
 
-@query(f"WITH {I.RATINGS} SELECT u AS user, round(coalesce(max(rating) FILTER (item = 1), 0), 6) AS i1, round(coalesce(max(rating) FILTER (item = 2), 0), 6) AS i2, round(coalesce(max(rating) FILTER (item = 3), 0), 6) AS i3 FROM rated GROUP BY 1")
+_ITEMS = ", ".join(f"round(coalesce(max(rating) FILTER (item = {i}), 0), 6) AS i{i}" for i in range(100))
+
+
+@query(f"WITH {I.RATINGS} SELECT u AS user, {_ITEMS} FROM rated GROUP BY 1")
 def dense_profiles(spark, sf_dir) -> DataFrame:
-    rows = recsys.dense_profiles(I.ratings(spark, sf_dir), [1, 2, 3])
-    return rows.select("user", *[F.round(str(i), 6).alias(f"i{i}") for i in (1, 2, 3)])
+    rows = recsys.dense_profiles(cut(I.ratings(spark, sf_dir)))
+    return rows.select("user", *[F.round(c, 6).alias(c) for c in rows.columns if c != "user"])
+
+
+_RUN = "(WITH {cte} SELECT u, item, rating, prediction FROM pred WHERE n = 10)"
+
+
+@query(
+    f"""SELECT count(*) AS rows, sum((round(a.prediction, 9) IS NOT DISTINCT FROM round(b.prediction, 9))::BIGINT)::BIGINT AS equal,
+round(sqrt(avg((a.prediction - a.rating) ** 2)), 6) AS rmse_one, round(sqrt(avg((b.prediction - a.rating) ** 2)), 6) AS rmse_other
+FROM {_RUN.format(cte=I.PREDICT.format(pool="rk <= 25"))} a JOIN {_RUN.format(cte=I.PREDICT.format(pool="true"))} b USING (u, item)"""
+)
+def cf_comparison(spark, sf_dir) -> DataFrame:
+    """Predictions from the index against those from all users; bench.py times the two."""
+    out = recsys.compare_runs(*(_predictions(spark, sf_dir, pool, (10,)).drop("n") for pool in (RatingConfig.pool, None)))
+    return out.withColumns({c: F.round(c, 6) for c in ("rmse_one", "rmse_other")})
 
 
 @query(f"WITH {I.SIMS.format(pool='rk <= 25')} SELECT u, v, round(avg(ru), 10) AS mean_u FROM common GROUP BY 1, 2")

@@ -24,13 +24,55 @@ def test_jaccard(spark, a, b, want):
     assert rows(spark, [(a, b)], "a array<string>, b array<string>").select(jaccard_distance(F.col("a"), F.col("b"))).first()[0] == want
 
 
-def test_pairs_match_brute_force(spark):
-    texts = ["the quick brown fox", "the quick brown dog", "a quick brown fox", "zzz", "", "The Quick Brown Fox"]
+def noisy_texts(n=120):
+    rng = np.random.default_rng(7)
+    base = ["".join(rng.choice(list("abcdefg"), 40)) for _ in range(8)]
+    texts = ["the quick brown fox", "the quick brown dog", "a quick brown fox", "zzz", "", "The Quick Brown Fox", "zzz"]
+    for k in range(n):
+        t = list(base[k % 8])
+        for _ in range(rng.integers(0, 9)):
+            t[rng.integers(len(t))] = "xyz"[rng.integers(3)]
+        texts.append("".join(t))
+    return texts
+
+
+def distances(texts, least=3):
+    cut = [{t.lower()[i : i + 4] for i in range(len(t) - 3)} for t in texts]
+    return {(i, j): 1 - len(a & b) / len(a | b) for i, a in enumerate(cut) for j, b in enumerate(cut) if i != j and len(a & b) >= least}
+
+
+@pytest.mark.parametrize("cells", [10**9, 400])
+def test_similarity_matches_brute_force(spark, monkeypatch, cells):
+    from corvane.operators import blocks
+
+    monkeypatch.setattr(blocks.over_blocks, "__defaults__", (None, cells))
+    texts = noisy_texts()
     sets = similarity.with_shingles(rows(spark, list(enumerate(texts)), "id bigint, string string"))
-    got = {(r["l"], r["r"]): r["dist"] for r in similarity.shared_pairs(sets).collect()}
-    cut = lambda t: {t.lower()[i : i + 4] for i in range(len(t) - 3)}
-    want = {(i, j): 1 - len(cut(a) & cut(b)) / len(cut(a) | cut(b)) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and len(cut(a) & cut(b)) >= 3}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    want = distances(texts)
+    got = {(r["l"], r["r"]): r["dist"] for r in similarity.similar_pairs(sets, 0.6).collect()}
+    assert got == {k: d for k, d in want.items() if k[0] < k[1] and d <= 0.6}
+    near = [(r["l"], r["r"], r["rk"]) for r in similarity.nearest(sets, 5).collect()]
+    best = {i: sorted((d, b) for (a, b), d in want.items() if a == i)[:5] for i in range(len(texts))}
+    assert sorted(near) == sorted((i, b, k + 1) for i, x in best.items() for k, (_, b) in enumerate(x))
+    all_edges = rows(spark, [k for k, d in want.items() if d <= 0.4], "l bigint, r bigint")
+    ids = spark.range(len(texts))
+    part = {tuple(r) for r in cluster.components(ids, similarity.spanning_edges(sets, 0.4)).collect()}
+    assert part == {tuple(r) for r in cluster.components(ids, all_edges).collect()}
+    home = dict(part)
+    top = {r["cluster_id"] for r in cluster.anchors(rows(spark, list(part), "id bigint, cluster_id bigint"), 4).collect()}
+    links = {}
+    for (a, b), d in want.items():
+        if home[a] != home[b] and home[b] in top:
+            links[home[a], home[b]] = min(d, links.get((home[a], home[b]), 9))
+    got = cluster.min_link(sets, rows(spark, list(part), "id bigint, cluster_id bigint"), 4).collect()
+    assert {(r["cluster_id"], r["anchor_id"]): r["dist"] for r in got} == links
+
+
+def test_similarity_of_nothing(spark):
+    none = rows(spark, [], "id bigint, shingles array<string>")
+    assert similarity.nearest(none).count() == similarity.similar_pairs(none).count() == 0
+    short = rows(spark, [(1, []), (2, []), (3, None)], "id bigint, shingles array<string>")
+    assert similarity.nearest(short).count() == similarity.spanning_edges(short, 1.0).count() == 0
 
 
 def test_components_are_a_partition(spark):
@@ -57,17 +99,13 @@ def test_single_member_has_no_spread(spark):
 
 def test_unlinked_clusters_join_the_largest_anchor(spark):
     placed = rows(spark, [(1, 1), (2, 1), (3, 3), (4, 4)], "id bigint, cluster_id bigint")
-    pairs = rows(spark, [(3, 4, 3, 0.4)], "l bigint, r bigint, shared bigint, dist double")
-    assert {tuple(r) for r in cluster.consolidate(pairs, placed, 1).collect()} == {(1, 1), (3, 1), (4, 1)}
-    assert {tuple(r) for r in cluster.consolidate(pairs, placed, 2).collect()} == {(1, 1), (3, 3), (4, 3)}
+    sets = rows(spark, [(1, ["a"]), (2, ["a"]), (3, list("pqrst")), (4, list("pqrsu"))], "id bigint, shingles array<string>")
+    assert {tuple(r) for r in cluster.consolidate(sets, placed, 1).collect()} == {(1, 1), (3, 1), (4, 1)}
+    assert {tuple(r) for r in cluster.consolidate(sets, placed, 2).collect()} == {(1, 1), (3, 3), (4, 3)}
 
 
 @pytest.mark.parametrize(("before", "value", "stop"), [(29, 9.0, False), (30, 0.55, True), (30, 0.50, False), (30, 0.39, False)])
 def test_jump_rule(spark, before, value, stop):
-    d = cluster.JumpDetector()
-    for _ in range(before):
-        d.observe(0.30)
-    assert d.stops(value) is stop
     series = rows(spark, [(i, 0.30) for i in range(before)] + [(before, value)], "step int, d double")
     assert cluster.jump_flags(series, "d", "step").orderBy(F.desc("step")).first()["jump"] is stop
 
@@ -76,16 +114,38 @@ def test_merge_history_is_ordered(spark):
     base = "abcdefghijklmnopqrstuvwxyz"
     texts = [base, base + "x", base[1:], "0123456789" * 3, "0123456789" * 3 + "q", "lonely text here"]
     sets = similarity.with_shingles(rows(spark, list(enumerate(texts)), "id bigint, string string"))
-    near = similarity.nearest(similarity.shared_pairs(sets))
+    near = similarity.nearest(sets)
     history, placed = cluster.merge_history(sets, near, 0.5)
     got = history.orderBy("step").collect()
     assert [r["active_clusters"] for r in got] == [5, 4, 3]
     assert [r["merge_distance"] for r in got] == sorted(r["merge_distance"] for r in got)
     assert {tuple(r) for r in placed.collect()} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 5)}
+    assert got[0]["global_avg_dist"] == got[0]["merge_distance"] / 5
     with pytest.raises(ValueError, match="edges"):
         cluster.merge_history(sets, near, 0.9, most_rows=1)
 
 
+def test_merge_history_stops_before_a_jump(spark):
+    pairs = [(2 * k, 2 * k + 1, 0.1 + k / 1000) for k in range(35)] + [(0, 80, 0.5), (90, 91, 0.6)]
+    sets = [(i, [f"g{i // 2}_{j}" for j in range(10)] + [f"own{i}"]) for i in range(70)] + [(80, ["far"]), (90, ["x"]), (91, ["x"])]
+    near = rows(spark, [(a, b, d, 1) for a, b, d in pairs], "l bigint, r bigint, dist double, rk int")
+    history, placed = cluster.merge_history(rows(spark, sets, "id bigint, shingles array<string>"), near, 0.9)
+    assert history.count() == 35
+    home = {r["id"]: r["cluster_id"] for r in placed.collect()}
+    assert home[80] == 80 and home[91] == 91 and home[1] == 0 and home[69] == 68
+
+
+def test_cur_factors_match_numpy(spark):
+    data = np.random.default_rng(5).standard_normal((30, 6)) * np.arange(1, 7)
+    df = rows(spark, [(i, r.tolist()) for i, r in enumerate(data)], "k int, features array<double>")
+    basis = linalg.svd_basis(df)
+    got = linalg.cur_factors(df, basis, "k", 3).orderBy("factor", "position").collect()
+    top = np.argsort(-np.linalg.norm(data, axis=1))[:3]
+    assert [r["key"] for r in got[:3]] == [str(i) for i in top]
+    assert np.allclose([r["values"] for r in got[:3]], data[top])
+    assert np.allclose([r["values"] for r in got[3:]], np.linalg.pinv(data[top][:, basis.columns(3)]))
+
+
 def test_lags_drop_rows_after_a_null(spark):
     series = rows(spark, [(i, None if i == 3 else float(i)) for i in range(1, 21)], "day int, price double")
     assert [r["day"] for r in timeseries.lag_samples(series).orderBy("day").collect()] == [19, 20]
