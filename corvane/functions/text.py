@@ -10,12 +10,12 @@ def shingles(text: Column, k: int = 4) -> Column:
     """Sorted distinct k-character pieces of the lower-cased text; empty if it is shorter."""
     empty = F.array().cast("array<string>")
 
-    def pieces(low: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.length(low) - (k - 1)), lambda i: F.substring(low, i, F.lit(k)))
-        return F.when(F.length(low) >= k, F.array_sort(F.array_distinct(cut))).otherwise(empty)
+    def pieces(chars: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.size(chars) - k), lambda i: F.concat(*[F.get(chars, i + j) for j in range(k)]))
+        return F.when(F.size(chars) >= k, F.sort_array(F.array_distinct(cut))).otherwise(empty)
 
-    # bound as a lambda variable, so that the text is lowered once and not for every piece
-    return F.get(F.transform(F.array(F.lower(text)), pieces), F.lit(0))
+    # bound as a lambda variable, so that the text is taken apart once and not for every piece, and read by place
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(F.split(F.lower(text), "")), pieces), F.lit(0))).otherwise(empty)
 
 
 def jaccard_distance(left: Column, right: Column) -> Column:

@@ -18,8 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.checkpoints import cut
+
 #: Cells of a block, and pairs of rows whose counts are held at once.
 CELLS, COUNTS = 250_000, 4_000_000
+#: Tasks at most; a task works off its pairs of blocks one by one.
+TASKS = 20_000
 
 
 @dataclass(frozen=True)
@@ -92,7 +96,7 @@ def over_blocks(sets: DataFrame, pick: Callable[[Piece], pa.Table], schema: str,
     """What `pick` makes of the counts of every row of `sets` with every other, one direction at a time, so each pair of
     rows comes as (l, r) and as (r, l). sets: id bigint, cells array<bigint> (distinct), and a tag bigint if named."""
     cells_or_none = F.coalesce("cells", F.array().cast("array<bigint>")).alias("cells")
-    rows = sets.select("id", cells_or_none, *([F.col(tag).alias("tag")] if tag else []))
+    rows = cut(sets.select("id", cells_or_none, *([F.col(tag).alias("tag")] if tag else [])))
     blocks = max(1, -(-(rows.agg(F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()[0]) // cells))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -110,4 +114,5 @@ def over_blocks(sets: DataFrame, pick: Callable[[Piece], pa.Table], schema: str,
                 out.append(pick(piece.turned()))
         return pa.concat_tables(out)
 
-    return dealt.groupBy("i", "j").applyInArrow(run, schema)
+    # pairs of blocks are dealt out by number, since their work is not in proportion to their bytes
+    return dealt.repartition(min(blocks * (blocks + 1) // 2, TASKS), "i", "j").groupBy("i", "j").applyInArrow(run, schema)
