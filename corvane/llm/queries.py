@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from corvane.llm import sql
 from corvane.llm.decontam import op10_decontamination
 from corvane.llm.html import op1_html_extraction
@@ -21,6 +20,6 @@ QUERIES = {
         op1_html_extraction, op2_ngram_jaccard_join, op3_toxicity, op4_quality_classifier, op5_sharding,
         op6_sentencepiece, op7_language_id, op8_quality_rules, op9_line_dedup, op10_decontamination,
     )
-} | {"pipeline": corpus_pipeline.run}
+}
 
 ORACLES = {"op8_quality_rules": sql.OP8, "op10_decontamination": sql.OP10}
