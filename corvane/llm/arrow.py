@@ -95,7 +95,8 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE) -> Iterator[tupl
 
 
 def map_texts(rows: DataFrame, schema: str, setup: Callable[[], Callable[[list], dict]], text: str = "text", keep: bool = False) -> DataFrame:
-    """Adds columns to `rows`: setup() runs once per task and gives a function from texts (None: null) to columns.
+    """Adds columns to `rows`: setup() runs once per task and gives a function from texts (None: null) to columns, of
+    which an attribute close, if there is one, is called when the task ends.
 
     The text column itself is returned only if `keep`. Rows keep their order and number.
     """
@@ -113,6 +114,7 @@ def map_texts(rows: DataFrame, schema: str, setup: Callable[[], Callable[[list],
             for b, texts in slices(batch, text):
                 made = work(texts)
                 yield pa.RecordBatch.from_arrays([b.column(n).cast(arrow.field(n).type) for n in names] + [pa.array(made[n], type=arrow.field(n).type) for n in new], schema=arrow)
+        getattr(work, "close", lambda: None)()
 
     sent = names if text in names else [*names, text]
     return in_arrow(rows.select(*[column(n) for n in sent]), run, out)

@@ -10,7 +10,7 @@ one other class: so classes nest, from the class of the whole page down, and the
 
 The template's elements delimit slots, and what is in a slot on the host's pages together decides about it:
 - From the whole page the walk goes down into the one slot that holds `share` of the varying text outside links, as
-  long as it has blocks of its own. Where it ends is the main slot. Names only break ties: an article or main element
+  long as it has two blocks a page. Where it ends is the main slot. Names only break ties: an article or main element
   ends the walk, and is taken where no slot has that share; parts with the names of BESIDE count a quarter.
 - Slots inside the main slot go if most of their text is in links or the same on all pages. So do short texts of valid
   classes.
@@ -257,7 +257,7 @@ def _counts(html: str, short: int) -> Iterator[tuple]:
     for k in range(n - 1, 0, -1):
         if block[k]:
             up = own[page.parent[k]]
-            blocks[up] += 1
+            blocks[up] += 1 + blocks[k]
             for sums in (prose, text, linked, inner):
                 sums[up] += sums[k]
     for k in range(n):

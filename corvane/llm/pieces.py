@@ -45,7 +45,7 @@ MAX_MODEL_MB = 64
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
 #: What a worker remembers of pairs of pieces, and of words and their ids, in bytes.
-PAIR_BYTES, WORD_BYTES = 48_000_000, 64_000_000
+PAIR_BYTES, WORD_BYTES = 40_000_000, 64_000_000
 
 
 def _fields(data: bytes):
@@ -255,6 +255,11 @@ class Codec:
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), np.int32) for ws in cut]
 
+    def forget(self) -> None:
+        """Lets go of the words, so that an idle worker holds the model and its pairs only."""
+        self.words.clear()
+        self.held = 0
+
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.m.decoded.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.m.prefix and text.startswith(" ") else text
@@ -264,7 +269,7 @@ _codecs: dict[int, Codec] = {}
 
 
 def _codec(data: bytes) -> Codec:
-    """One codec per worker and model: what it learned about words and pairs serves later tasks."""
+    """One codec per worker and model: what it learned about pairs serves later tasks."""
     key = hash(data)
     if key not in _codecs:
         _codecs[key] = Codec(Model.load(data))
@@ -286,6 +291,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, text_col: str = "te
             ids = codec.encode(texts)
             return {"n_tokens": [len(i) for i in ids], "ids": ids, "round_trip": [codec.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]}
 
+        work.close = codec.forget
         return work
 
     return map_texts(docs, "n_tokens bigint, ids array<int>, round_trip boolean", setup, text=text_col)
