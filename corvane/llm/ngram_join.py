@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.arrow import Memo, in_arrow, slices
+from corvane.llm.arrow import in_arrow, slices
 from corvane.llm.store import Tables, join_checked
 
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -63,11 +63,23 @@ class JaccardParams:
         return f"{self.num + self.den} * CAST({both} AS BIGINT) >= {self.num} * CAST({n} + {m} AS BIGINT)"
 
 
+class Words(dict):
+    """Hashes of words; at most 400,000 words of up to 64 bytes are remembered, some 100 MB."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 400_000:
+                self.clear()
+            self[word] = value
+        return value
+
+
 class GramSets:
     """Sorted distinct 64-bit hashes of a text's n-grams of words; a shorter text is one n-gram."""
 
     def __init__(self, width: int):
-        self.width, self.ids = width, Memo(xxhash.xxh3_64_intdigest)
+        self.width, self.ids = width, Words()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else ()
