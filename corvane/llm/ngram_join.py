@@ -51,7 +51,7 @@ class JaccardParams:
     num: int = 4
     den: int = 5
     chunk: int = 800_000
-    block: int = 1_000_000
+    block: int = 700_000
     stars: int = 6
     parts: int = 8
 
@@ -123,7 +123,7 @@ def _digest(grams: np.ndarray) -> int:
 
 def live_counts(rows: DataFrame, p: JaccardParams, total: int) -> DataFrame:
     """cls, live: at least as many as the n-grams of the class that another class has too."""
-    blocks = max(512, (total // p.block + 1) * 4)
+    blocks = max(32, (total // p.block + 1) * 4)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, seen, held, size = GramSets(p.width), set(), [], 0
