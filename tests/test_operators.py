@@ -238,3 +238,54 @@ def test_gram_vectors_keep_every_gram(spark):
     assert strings.gram_vectors(parts).first()["features"].size == distinct
     with pytest.raises(ValueError, match="4-grams"):
         strings.gram_vectors(parts, most=1000)
+
+
+def test_pairs_of_a_block_with_itself_come_once(spark):
+    """More rows in one block than are counted at once."""
+    n = 2500
+    sets = rows(spark, [(i, [f"a{i // 2}", f"b{i // 2}", f"c{i // 2}", f"d{i}"]) for i in range(n)], "id bigint, shingles array<string>")
+    got = sorted((r["l"], r["r"], r["shared"]) for r in similarity.similar_pairs(sets, 0.5).collect())
+    assert got == [(i, i + 1, 3) for i in range(0, n, 2)]
+    near = similarity.nearest(sets, 2).collect()
+    assert sorted((r["l"], r["r"], r["rk"]) for r in near) == [(i, i ^ 1, 1) for i in range(n)]
+    edges = similarity.spanning_edges(sets, 0.5).collect()
+    assert {(min(e), max(e)) for e in edges} == {(i, i + 1) for i in range(0, n, 2)}
+    train = rows(spark, [(i, i // 2, 1.0) for i in range(n)], "user int, item int, rating double")
+    assert sorted(map(tuple, recsys.overlap_counts(train).collect())) == [(i, i ^ 1, 1) for i in range(n)]
+
+
+def test_blocks_are_shuffled_once(spark):
+    """The bytes that a blocked product shuffles do not follow the number of blocks."""
+    from corvane.operators.blocks import over_blocks
+
+    rng = np.random.default_rng(3)
+    sets = rows(spark, [(i, [int(x) for x in rng.choice(5000, 60, replace=False)]) for i in range(400)], "id bigint, cells array<bigint>")
+    status = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: status.executorList(False).head().totalShuffleWrite()
+    sizes = []
+    for cells in (10**9, 600):
+        before = written()
+        assert over_blocks(sets, lambda p: __import__("pyarrow").table({"n": [len(p.l) * len(p.r)]}), "n bigint", None, cells).agg(F.sum("n")).first()[0] == 400**2
+        sizes.append(written() - before)
+    assert sizes[1] < 3 * sizes[0]
+
+
+def test_merge_history_carries_its_samples(spark):
+    """Against all members of every cluster, sorted anew for each merge."""
+    import hashlib
+
+    texts = noisy_texts(90)
+    sets = similarity.with_shingles(rows(spark, list(enumerate(texts)), "id bigint, string string"))
+    near = similarity.nearest(sets)
+    history, _ = cluster.merge_history(sets, near, 0.85, ClusterConfig(max_sample=5, jump_factor=1e9))
+    cut = [{t.lower()[i : i + 4] for i in range(len(t) - 3)} for t in texts]
+    home, want = {i: [i] for i in range(len(texts))}, []
+    for d, a, b in sorted({(r["dist"], min(r["l"], r["r"]), max(r["l"], r["r"])) for r in near.collect() if r["dist"] <= 0.85}):
+        if home[a] is home[b]:
+            continue
+        both = home[a] + home[b]
+        home.update(dict.fromkeys(both, both))
+        some = [cut[i] for i in sorted(both, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))[:5]]
+        want.append((d, len(both), max(1 - len(x & y) / len(x | y) for k, x in enumerate(some) for y in some[k + 1 :])))
+    got = [(r["merge_distance"], r["merged_cluster_size"], r["merged_cluster_diameter"]) for r in history.orderBy("step").collect()]
+    assert got == want and len(got) > 60
