@@ -289,3 +289,17 @@ def test_merge_history_carries_its_samples(spark):
         want.append((d, len(both), max(1 - len(x & y) / len(x | y) for k, x in enumerate(some) for y in some[k + 1 :])))
     got = [(r["merge_distance"], r["merged_cluster_size"], r["merged_cluster_diameter"]) for r in history.orderBy("step").collect()]
     assert got == want and len(got) > 60
+
+
+@pytest.mark.parametrize("values", [(1.0, 2.0, 3.0), (50.01, 50.02, 480.3, 7.7, 0.0)])
+def test_neighbours_from_all_users_match_joins(spark, values):
+    rng = np.random.default_rng(8)
+    data = [(int(u), int(i), float(rng.choice(values))) for u in range(60) for i in rng.choice(14, rng.integers(1, 11), replace=False)]
+    data += [(99, 0, 2.0), (99, 1, 2.0)]
+    part = [(u, i, r) for u, i, r in data if (u * 31 + i) % 5 == 0] + [(500, 1, 1.0), (3, 77, 1.0)]
+    train, test = rows(spark, [x for x in data if x not in part], RATED), rows(spark, part, RATED)
+    want = recsys.ranked_neighbours(train, test, recsys.centred_cosine(train, recsys.overlap_pool(train, None))).where("rk <= 4")
+    exact = lambda x: sorted((r["user"], r["item"], r["rk"], r["v"], round(r["sim"], 8), round(r["dev"], 9)) for r in x.collect())
+    got = recsys.all_neighbours(train, test, 4)
+    assert "MapInArrow" in got._jdf.queryExecution().toString() and "Window" not in got._jdf.queryExecution().toString()
+    assert exact(got) == exact(want) and len(exact(want)) > 50
