@@ -123,7 +123,8 @@ def _digest(grams: np.ndarray) -> int:
 
 def live_counts(rows: DataFrame, p: JaccardParams, total: int) -> DataFrame:
     """cls, live: at least as many as the n-grams of the class that another class has too."""
-    blocks = max(32, (total // p.block + 1) * 4)
+    blocks = max(512, (total // p.block + 1) * 4)
+    deals = max(32, total // 20_000_000)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, seen, held, size = GramSets(p.width), set(), [], 0
@@ -148,30 +149,56 @@ def live_counts(rows: DataFrame, p: JaccardParams, total: int) -> DataFrame:
                 part = b.slice(k, 256)
                 for block, gram, cls, times, mark in zip(*(part.column(c).to_pylist() for c in ("block", "gram", "cls", "times", "mark")), strict=True):
                     if gram is None:  # counted by the chunk for its own classes
-                        yield _live(np.frombuffer(cls, np.int64), np.frombuffer(times, np.uint32))
+                        done.append((np.frombuffer(cls, np.int64), np.frombuffer(times, np.uint32)))
+                        held += len(done[-1][0])
                         continue
                     if block != here and parts:
                         done.append(_count_block(parts))
                         parts, held = [], held + len(done[-1][0])
                         if held > 2_000_000:
-                            yield _summed(done)
+                            yield _dealt(*_summed(done), deals)
                             done, held = [], 0
                     here = block
                     parts.append((gram, cls, times, mark))
         if parts:
             done.append(_count_block(parts))
         if done:
-            yield _summed(done)
+            yield _dealt(*_summed(done), deals)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, parts, held = None, [], 0
+        for b in batches:
+            for deal, cls, times in zip(*(b.column(c).to_pylist() for c in ("deal", "cls", "times")), strict=True):
+                if deal != here and parts:
+                    yield _live(*_summed(parts))
+                    parts, held = [], 0
+                here = deal
+                parts.append((np.frombuffer(cls, np.int64), np.frombuffer(times, np.uint32)))
+                held += len(parts[-1][0])
+                if held > 2_000_000:
+                    parts = [_summed(parts)]
+                    held = 0
+        if parts:
+            yield _live(*_summed(parts))
 
     sent = in_arrow(rows, split, "block int, gram binary, cls binary, times binary, mark binary")
     # sorted, so that a task holds one block at a time, of about `block` n-grams whatever the input
-    each = in_arrow(sent.repartition(max(2, blocks // 4), "block").sortWithinPartitions("block"), count, "cls bigint, live int")
-    return each.groupBy("cls").agg(F.sum("live").alias("live"))
+    each = in_arrow(sent.repartition(max(2, blocks // 4), "block").sortWithinPartitions("block"), count, "deal int, cls binary, times binary")
+    # a task's counts travel as one row for each deal of classes, not as one for each class; a class is in one deal
+    return in_arrow(each.repartition(deals, "deal").sortWithinPartitions("deal"), gather, "cls bigint, live int")
 
 
-def _summed(done: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _summed(done: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     names, where = np.unique(np.concatenate([d[0] for d in done]), return_inverse=True)
-    return _live(names, np.bincount(where, np.concatenate([d[1] for d in done]), minlength=len(names)))
+    return names, np.bincount(where, np.concatenate([d[1] for d in done]), minlength=len(names)).astype(np.uint32)
+
+
+def _dealt(cls: np.ndarray, times: np.ndarray, deals: int) -> pa.RecordBatch:
+    at = (cls.view(np.uint64) >> np.uint64(16)) % np.uint64(deals)
+    order = np.argsort(at)
+    cuts = np.searchsorted(at[order], np.arange(deals + 1, dtype=np.uint64))
+    some = [(k, order[cuts[k] : cuts[k + 1]]) for k in range(deals) if cuts[k] < cuts[k + 1]]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), *(pa.array([x[o].tobytes() for _, o in some], pa.binary()) for x in (cls, times))], names=["deal", "cls", "times"])
 
 
 def _live(cls: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
@@ -194,7 +221,7 @@ def _blocks(held: list[tuple[int, np.ndarray]], blocks: int) -> pa.RecordBatch:
     classes = np.array([k for k, _ in held], np.int64)
     h = np.concatenate([g for _, g in held])
     who = np.repeat(np.arange(len(held)), [len(g) for _, g in held])
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, who = h[order], who[order]
     twin = np.zeros(len(h), bool)
     twin[1:] = h[1:] == h[:-1]
@@ -205,7 +232,7 @@ def _blocks(held: list[tuple[int, np.ndarray]], blocks: int) -> pa.RecordBatch:
     rest_h, rest_who = h[~both], who[~both]
     place = lambda x: ((x >> np.uint64(48)) % np.uint64(blocks)).astype(np.int64)
     at, mark_at = place(rest_h), place(marks)
-    order = np.lexsort((rest_who, at))
+    order = np.argsort(at * len(held) + rest_who)
     at, rest_h, rest_who = at[order], rest_h[order], rest_who[order]
     order = np.argsort(mark_at, kind="stable")
     mark_at, marks = mark_at[order], marks[order]
@@ -229,12 +256,12 @@ def _count_block(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     h = _unpack([x[0] for x in parts])
     cls = np.repeat(np.frombuffer(b"".join(x[1] for x in parts), np.int64), np.frombuffer(b"".join(x[2] for x in parts), np.uint32))
     marks = np.unique(_unpack([x[3] for x in parts]))
-    order = np.lexsort((cls, h))
+    order = np.argsort(h)
     h, cls = h[order], cls[order]
     if len(h):
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         last = np.r_[first[1:], len(h)] - 1
-        live = cls[first] != cls[last]
+        live = np.minimum.reduceat(cls, first) != np.maximum.reduceat(cls, first)
         if len(marks):
             near = np.minimum(np.searchsorted(marks, h[first]), len(marks) - 1)
             live |= marks[near] == h[first]

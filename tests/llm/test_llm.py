@@ -394,3 +394,17 @@ def test_pipeline(spark, small):
 
 def test_oracles_name_queries():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_live_counts_are_exact_and_travel_packed(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcd"), rng.integers(5, 40))) for _ in range(150)]
+    p = ngram_join.JaccardParams(chunk=50, block=100)
+    live = ngram_join.live_counts(docs(spark, texts).repartition(3), p, 3000)
+    assert "HashAggregate" not in live._jdf.queryExecution().toString()
+    sets = {}
+    for t in texts:
+        grams = ngram_join.GramSets(5)(t)
+        sets[ngram_join._digest(grams)] = set(grams.tolist())
+    want = {k: sum(any(g in other for j, other in sets.items() if j != k) for g in s) for k, s in sets.items()}
+    assert {r["cls"]: r["live"] for r in live.collect() if r["live"]} == {k: n for k, n in want.items() if n}
