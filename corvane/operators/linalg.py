@@ -93,9 +93,9 @@ def _batches(part: pa.RecordBatch, most: int = 4096) -> Iterator[tuple[pa.Record
         yield b, row, at.flatten().to_numpy(), value.flatten().to_numpy()
 
 
-def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """The sum of the rows that go to each of n places."""
-    return np.stack([np.bincount(at, x, n) for x in rows.T], axis=1)
+def _sums(at: np.ndarray, columns: Iterator[np.ndarray], n: int) -> np.ndarray:
+    """The sums, column by column, of the values that go to each of n places; one column is held at a time."""
+    return np.stack([np.bincount(at, x, n) for x in columns], axis=1)
 
 
 def sparse_svd_projection(vectors: DataFrame, key: str, k: int, column: str = "features", rounds: int = 4, seed: int = 42) -> DataFrame:
@@ -113,7 +113,7 @@ def sparse_svd_projection(vectors: DataFrame, key: str, k: int, column: str = "f
     def images(batches: Iterator[pa.RecordBatch], q: np.ndarray) -> Iterator[tuple]:
         for part in batches:
             for b, row, at, value in _batches(part):
-                yield b, row, at, value, _sums(row, value[:, None] * q[at], b.num_rows)
+                yield b, row, at, value, _sums(row, (value * x[at] for x in q.T), b.num_rows)
 
     def pass_of(shared, inner: bool) -> np.ndarray:
         """A'(A Q), or (A Q)'(A Q)."""
@@ -124,9 +124,12 @@ def sparse_svd_projection(vectors: DataFrame, key: str, k: int, column: str = "f
                 if inner:
                     out += y.T @ y
                 else:
-                    out += _sums(at, value[:, None] * y[row], width)
+                    for c, x in enumerate(y.T):
+                        out[:, c] += np.bincount(at, value * x[row], width)
             some = np.flatnonzero(out.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(out[some].ravel()), size).cast(pa.list_(pa.float64()))], names=["place", "v"])
+            for k in range(0, len(some), 50_000):
+                part = some[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(out[part].ravel()), size).cast(pa.list_(pa.float64()))], names=["place", "v"])
 
         each = rows.select("at", "value").mapInArrow(run, "place bigint, v array<double>")
         sums = each.groupBy("place").agg(F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(size)]).alias("v")).toArrow()
@@ -145,7 +148,7 @@ def sparse_svd_projection(vectors: DataFrame, key: str, k: int, column: str = "f
     def coords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for b, row, at, value in _batches(part):
-                y = _sums(row, value[:, None] * v.value[at], b.num_rows)
+                y = _sums(row, (value * x[at] for x in v.value.T), b.num_rows)
                 yield pa.RecordBatch.from_arrays([b.column(key), pa.array(list(y), pa.list_(pa.float64()))], names=[key, "coords"])
 
     return rows.mapInArrow(coords, f"{key} {vectors.schema[key].dataType.simpleString()}, coords array<double>")

@@ -303,3 +303,15 @@ def test_neighbours_from_all_users_match_joins(spark, values):
     got = recsys.all_neighbours(train, test, 4)
     assert "MapInArrow" in got._jdf.queryExecution().toString() and "Window" not in got._jdf.queryExecution().toString()
     assert exact(got) == exact(want) and len(exact(want)) > 50
+
+
+def test_sums_hold_one_column_at_a_time():
+    import tracemalloc
+
+    n, width = 200_000, 33
+    at, value, q = np.arange(n) % 500, np.ones(n), np.ones((1000, width))
+    tracemalloc.start()
+    got = linalg._sums(at, (value * x[np.arange(n) % 1000] for x in q.T), 500)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == n / 500).all() and peak < n * width * 8 / 4
