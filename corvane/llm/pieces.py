@@ -121,7 +121,7 @@ class PrefixEncoder:
         self.held = 0
         #: Ends of pieces: whole pieces are 2 until merging has shown them sound (1) or not (0); other ends are 0.
         self.ends = {p[k:]: 0 for p in model.pieces for k in range(len(p))} | {p: 1 if len(p) == 1 else 2 for p in model.pieces}
-        self.number = {p: k for p, (k, _) in model.pieces.items()}
+        self.packed = {p: array("i", [k]).tobytes() for p, (k, _) in model.pieces.items()}
         self.lowest = min((s for _, s in model.pieces.values()), default=0.0) - 10.0
         inner = any(MARK in p.lstrip(MARK) for p in model.pieces)
         breaks = "" if inner or any("\n" in p for p in model.pieces) else "\n"
@@ -159,10 +159,13 @@ class PrefixEncoder:
 
     def encode_sorted(self, words: list[str]) -> dict[str, array]:
         """ids of every word; `words` must be sorted and distinct."""
-        out: dict[str, array] = {}
-        step = self._step_bpe if self.m.kind == BPE else self._step_unigram
+        return {w: array("i", ids) for w, ids in self.packed_sorted(words).items()}
+
+    def packed_sorted(self, words: list[str]) -> dict[str, bytes]:
+        """The same as bytes, four for each id."""
+        out: dict[str, bytes] = {}
+        step, forward = (self._extend_bpe, [b""]) if self.m.kind == BPE else (self._extend_unigram, [0.0])
         last: list[str] = [""]  # last piece of the encoding of each prefix
-        score = [0.0]
         before = ""
         for w in words:
             shared = 0
@@ -171,33 +174,46 @@ class PrefixEncoder:
                     break
                 shared += 1
             del last[shared + 1 :]
-            del score[shared + 1 :]
-            for end in range(shared + 1, len(w) + 1):
-                step(w, end, last, score)
-            out[w] = self._ids(w, last)
+            del forward[shared + 1 :]
+            out[w] = step(w, shared + 1, last, forward)
             before = w
         return out
 
-    def _step_bpe(self, w: str, end: int, last: list[str], score: list[float]) -> None:
-        """Only one piece can end here, so they are tried from the shortest, as long as some piece ends so."""
-        ends, known = self.ends, self.pairs.get
-        start = end - 1
-        piece = w[start:end]
-        kind = ends.get(piece)
-        while kind is not None:
-            if kind and (kind == 1 or self._is_sound(piece)):
-                if not start:
-                    break
-                fit = known((last[start], piece))
-                if fit or (fit is None and self._fit(last[start], piece)):
+    def _extend_bpe(self, w: str, first: int, last: list[str], ids: list[bytes]) -> bytes:
+        """The forward table from place `first` on, with the ids of each prefix. Only one piece can end at a place, so
+        they are tried from the shortest, as long as some piece ends so."""
+        ends, known, packed = self.ends.get, self.pairs.get, self.packed.get
+        for end in range(first, len(w) + 1):
+            start = end - 1
+            piece = w[start]
+            kind = ends(piece)
+            while kind is not None:
+                if kind and (kind == 1 or self._is_sound(piece)):
+                    if not start:
+                        break
+                    fit = known((last[start], piece))
+                    if fit or (fit is None and self._fit(last[start], piece)):
+                        break
+                start -= 1
+                if start < 0:
+                    kind = None
                     break
-            start -= 1
-            if start < 0:
-                kind = None
-                break
-            piece = w[start:end]
-            kind = ends.get(piece)
-        last.append(piece if kind is not None else w[end - 1])
+                piece = w[start:end]
+                kind = ends(piece)
+            if kind is None:
+                start, piece = end - 1, w[end - 1]
+            last.append(piece)
+            ids.append(ids[start] + (packed(piece) or self._other(piece)))
+        return ids[-1]
+
+    def _extend_unigram(self, w: str, first: int, last: list[str], score: list[float]) -> bytes:
+        for end in range(first, len(w) + 1):
+            self._step_unigram(w, end, last, score)
+        back, end = [], len(w)
+        while end:
+            back.append(last[end])
+            end -= len(last[end])
+        return b"".join([self.packed.get(piece) or self._other(piece) for piece in reversed(back)])
 
     def _step_unigram(self, w: str, end: int, last: list[str], score: list[float]) -> None:
         known, best, piece = self.m.pieces, score[end - 1] + self.lowest, w[end - 1]
@@ -211,53 +227,43 @@ class PrefixEncoder:
         last.append(piece)
         score.append(best)
 
-    def _ids(self, w: str, last: list[str]) -> array:
-        back, end = [], len(w)
-        while end:
-            back.append(last[end])
-            end -= len(last[end])
-        back.reverse()
-        try:
-            return array("i", [self.number[piece] for piece in back])
-        except KeyError:
-            pass
-        ids = array("i")
-        for piece in back:
-            got = self.m.pieces.get(piece)
-            if got:
-                ids.append(got[0])
-            elif self.m.bytes_at is None:
-                ids.append(self.m.unk)
-            else:
-                ids.extend(self.m.bytes_at + b for b in piece.encode("utf-8", "replace"))
-        return ids
+    def _other(self, piece: str) -> bytes:
+        """The ids of a piece that the vocabulary lacks."""
+        if self.m.bytes_at is None:
+            return array("i", [self.m.unk]).tobytes()
+        return array("i", [self.m.bytes_at + b for b in piece.encode("utf-8", "replace")]).tobytes()
 
 
 class Codec:
-    """Encodes and decodes batches of texts; words stay known from batch to batch within a bound of bytes."""
+    """Encodes and decodes batches of texts; words stay known from batch to batch within a bound of bytes: beyond half of
+    it they become the old ones, of which those that are met again stay."""
 
     def __init__(self, model: Model, known: int = WORD_BYTES):
         self.m, self.encoder, self.known = model, PrefixEncoder(model), known
-        self.words: dict[str, array] = {}
-        self.held = 0
+        self.forget()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.encoder.marked(t or "") for t in texts]
-        new = sorted(set(chain.from_iterable(cut)) - self.words.keys())
-        size = sum(map(len, new)) * 4 + len(new) * 260
-        if self.held + size > self.known:
-            self.words.clear()
-            self.held = 0
-            new = sorted(set(chain.from_iterable(cut)))
-            size = sum(map(len, new)) * 4 + len(new) * 260
+        met = set(chain.from_iterable(cut))
+        asked = met - self.words.keys()
+        back = asked & self.old.keys()
+        new = sorted(asked - back)
+        size = sum(map(len, new)) * 4 + len(asked) * 260
+        if self.held + size > self.known // 2:
+            here = met - asked
+            kept = {w: self.words[w] for w in here} | {w: self.old[w] for w in back}
+            self.old, self.words, self.held = self.words, kept, len(here) * 280
+        else:
+            self.words.update((w, self.old[w]) for w in back)
         self.held += size
-        self.words.update(self.encoder.encode_sorted(new))
+        self.words.update(self.encoder.packed_sorted(new))
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), np.int32) for ws in cut]
 
     def forget(self) -> None:
         """Lets go of the words, so that an idle worker holds the model and its pairs only."""
-        self.words.clear()
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
     def decode(self, ids: np.ndarray) -> str:

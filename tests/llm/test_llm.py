@@ -281,6 +281,18 @@ def test_pieces_equal_the_library(spark, model_bytes):
     assert [r["text"] for r in back] == [t or "" for t in ODD]
 
 
+def test_words_that_are_met_again_are_encoded_once(model_bytes, monkeypatch):
+    model, seen = pieces.Model.load(model_bytes), collections.Counter()
+    plain = pieces.PrefixEncoder.packed_sorted
+    monkeypatch.setattr(pieces.PrefixEncoder, "packed_sorted", lambda self, words: seen.update(words) or plain(self, words))
+    codec, sp = pieces.Codec(model, 40_000), sentencepiece.SentencePieceProcessor(model_proto=model_bytes)
+    for k in range(30):
+        text = "the common words " + " ".join(f"w{k}x{i}" for i in range(20))
+        assert [x.tolist() for x in codec.encode([text])] == [sp.encode(text)]
+        assert len(codec.words) + len(codec.old) < 160
+    assert seen["▁common"] == 1 and len(seen) == 603
+
+
 def test_unigram_viterbi_is_optimal():
     words = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.9, "▁a": -4.0, "ba": -3.0, "aba": -6.1, "▁ab": -7.0}
     model = pieces.Model(pieces.UNIGRAM, True, {w: (i, s) for i, (w, s) in enumerate(words.items())}, [], None, 99)
