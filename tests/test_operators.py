@@ -315,3 +315,34 @@ def test_sums_hold_one_column_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (got == n / 500).all() and peak < n * width * 8 / 4
+
+
+def test_components_within_find_links_beyond_the_lists(spark, monkeypatch):
+    """Lists full of copies hide the links between their groups; the groups are joined all the same, as are all pairs."""
+    from corvane.operators import blocks
+
+    base = "the quick brown fox jumps over the lazy dog and runs far away from here"
+    texts = [base] * 8 + [base + " so it went"] * 8 + ["something else altogether is said in this one"] * 3 + ["x", None] + noisy_texts()
+    sets = similarity.with_shingles(rows(spark, list(enumerate(texts)), "id bigint, string string"))
+    want = distances([t or "" for t in texts])
+    for cells in (10**9, 400):
+        monkeypatch.setattr(blocks.over_blocks, "__defaults__", (None, cells))
+        for k in (3, 30):
+            lists = similarity.neighbour_lists(sets, k)
+            got = {tuple(r) for r in cluster.components_within(sets, lists, 0.4, k).collect()}
+            all_edges = rows(spark, [p for p, d in want.items() if d <= 0.4], "l bigint, r bigint")
+            assert got == {tuple(r) for r in cluster.components(spark.range(len(texts)), all_edges).collect()}
+        near = similarity.listed(lists).collect()
+        best = {i: sorted((d, b) for (a, b), d in want.items() if a == i)[:30] for i in range(len(texts))}
+        assert sorted((r["l"], r["r"], r["dist"], r["rk"]) for r in near) == sorted((i, b, d, n + 1) for i, x in best.items() for n, (d, b) in enumerate(x))
+
+
+def test_blocks_are_not_shuffled_as_sets(spark):
+    """What neighbours of strings take on disk follows their text: less than the eight bytes of each shingle's hash."""
+    texts = [(i, " ".join(f"{w}{(i * 7 + n * n) % 97}" for n, w in enumerate("all of these words are in every one of the many texts".split() * 6))) for i in range(600)]
+    sets = similarity.with_shingles(rows(spark, texts, "id bigint, string string"))
+    cells = sets.selectExpr("sum(size(shingles))").first()[0]
+    status = spark.sparkContext._jsc.sc().statusStore()
+    before = status.executorList(False).head().totalShuffleWrite()
+    assert similarity.nearest(sets, 3).count() == 1800
+    assert status.executorList(False).head().totalShuffleWrite() - before < 4 * cells
