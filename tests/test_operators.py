@@ -346,3 +346,23 @@ def test_blocks_are_not_shuffled_as_sets(spark):
     before = status.executorList(False).head().totalShuffleWrite()
     assert similarity.nearest(sets, 3).count() == 1800
     assert status.executorList(False).head().totalShuffleWrite() - before < 4 * cells
+
+
+def test_cluster_stats_shuffle_texts_not_shingles(spark):
+    """Over all pairs of each cluster; what is shuffled follows the texts of clusters of two and more."""
+    texts = noisy_texts(113)
+    strings = rows(spark, [(i, t * 20) for i, t in enumerate(texts)] + [(200, ""), (201, "x"), (202, None)], "id bigint, string string")
+    placed = rows(spark, [(i, i % 7) for i in range(120)] + [(200, 200), (201, 200), (202, 202)], "id bigint, cluster_id bigint")
+    cut = {i: {(t * 20).lower()[k : k + 4] for k in range(len(t) * 20 - 3)} for i, t in enumerate(texts)} | {200: set(), 201: set(), 202: set()}
+    want = {}
+    for c in (*range(7), 200, 202):
+        ids = [i for i in cut if (i % 7 if i < 120 else 200 + 2 * (i == 202)) == c]
+        d = [1 - len(cut[i] & cut[j]) / (len(cut[i] | cut[j]) or 1) for i in ids for j in ids if i < j]
+        want[c] = (len(ids), round(sum(d) / max(len(d), 1), 12), round(max(d, default=0.0), 12))
+    status = spark.sparkContext._jsc.sc().statusStore()
+    before = status.executorList(False).head().totalShuffleWrite()
+    got = cluster.cluster_stats(placed, strings).collect()
+    assert {r["cluster_id"]: (r["size"], round(r["avg_dist"], 12), round(r["diameter"], 12)) for r in got} == want
+    assert status.executorList(False).head().totalShuffleWrite() - before < 2 * sum(len(t) * 20 for t in texts)
+    same = cluster.cluster_stats(placed, similarity.with_shingles(strings)).collect()
+    assert sorted(map(tuple, same)) == sorted(map(tuple, got))
