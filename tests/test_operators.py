@@ -366,3 +366,55 @@ def test_cluster_stats_shuffle_texts_not_shingles(spark):
     assert status.executorList(False).head().totalShuffleWrite() - before < 2 * sum(len(t) * 20 for t in texts)
     same = cluster.cluster_stats(placed, similarity.with_shingles(strings)).collect()
     assert sorted(map(tuple, same)) == sorted(map(tuple, got))
+
+
+@pytest.mark.parametrize("copies", [1, 3, 40])
+def test_pool_of_copied_users_matches_all_counts(spark, copies):
+    """Users of the same items, more of them than the pool takes; every user of a set that others have is counted once."""
+    rng = np.random.default_rng(12)
+    data = [(int(u) + 100 * k, int(i), float(rng.integers(1, 6))) for u in range(30) for i in rng.choice(12, rng.integers(1, 9), replace=False) for k in range(copies)]
+    data += [(9000, 900, 1.0), (9001, 901, 2.0), (9002, 901, 2.0)]
+    train = rows(spark, data, RATED)
+    for pool in (1, 4):
+        want = recsys.overlap_pool(train, None).where(F.col("rk") <= pool).select("u", "v", "overlap", "rk")
+        assert sorted(map(tuple, recsys.overlap_pool(train, pool).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_copied_users_add_no_counts(spark, monkeypatch):
+    """The product has a row for each different set of items, not for each user."""
+    from corvane.operators import blocks
+
+    met = []
+    whole = blocks.over_blocks
+    monkeypatch.setattr(recsys, "over_blocks", lambda sets, *a, **b: met.append(sets.count()) or whole(sets, *a, **b))
+    train = rows(spark, [(u, (u % 5) * 3 + i, 1.0) for u in range(200) for i in range(4)], RATED)
+    assert recsys.overlap_pool(train, 25).count() == 200 * 25
+    assert met == [5]
+
+
+def test_pool_cosine_shuffles_no_rating_for_a_pair(spark):
+    """As by joins, in blocks; what is shuffled does not follow pairs times common items."""
+    rng = np.random.default_rng(13)
+    values = (50.01, 50.02, 480.3, 7.7, 0.0)
+    data = [(int(u), int(i), float(rng.choice(values))) for u in range(200) for i in rng.choice(60, rng.integers(1, 50), replace=False)]
+    train = rows(spark, data, RATED)
+    pairs = rows(spark, sorted({(int(u), int(v)) for u, v in rng.integers(0, 202, (6000, 2)) if u != v}), "u bigint, v bigint")
+    exact = lambda x: sorted((r["u"], r["v"], r["common"], round(r["sim"], 8)) for r in x.collect())
+    status = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: status.executorList(False).head().totalShuffleWrite()
+    sizes, got = [written()], []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        for f in (recsys.centred_cosine, recsys.pool_cosine):
+            got.append(exact(f(train, pairs)))
+            sizes.append(written())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got[0] == got[1] and len(got[0]) > 4000
+    assert 2 * (sizes[2] - sizes[1]) < sizes[1] - sizes[0]
+    mean = {}
+    for u, i, r in data:
+        mean.setdefault(u, {})[i] = r
+    for r in recsys.overlap_mean(train, pairs).limit(200).collect():
+        common = [x for i, x in mean[r["u"]].items() if i in mean[r["v"]]]
+        assert abs(r["mean_u"] - sum(common) / len(common)) < 1e-9
