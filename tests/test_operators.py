@@ -418,3 +418,11 @@ def test_pool_cosine_shuffles_no_rating_for_a_pair(spark):
     for r in recsys.overlap_mean(train, pairs).limit(200).collect():
         common = [x for i, x in mean[r["u"]].items() if i in mean[r["v"]]]
         assert abs(r["mean_u"] - sum(common) / len(common)) < 1e-9
+
+
+def test_best_neighbourhood_reads_pools_in_blocks(spark, small):
+    """The plan of the errors has no window over pairs of users and their common items."""
+    from corvane.plans import mining
+
+    plan = mining.cf_rmse_by_n(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not [x for x in plan.splitlines() if "Window" in x and "[u#" in x]
