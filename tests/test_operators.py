@@ -426,3 +426,27 @@ def test_best_neighbourhood_reads_pools_in_blocks(spark, small):
 
     plan = mining.cf_rmse_by_n(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and not [x for x in plan.splitlines() if "Window" in x and "[u#" in x]
+
+
+def test_predictions_by_pool_match_joins(spark):
+    """As from similarities and joins, ties, users without neighbours and unknown ones included; neighbours are not shuffled."""
+    rng = np.random.default_rng(14)
+    values = (50.01, 50.02, 480.3, 7.7, 0.0)
+    data = [(int(u), int(i), float(rng.choice(values))) for u in range(160) for i in rng.choice(60, rng.integers(3, 50), replace=False)]
+    data += [(u + 1000, i, r) for u, i, r in data if u < 40] + [(5000, 900, 1.0), (5000, 901, 2.0), (6000, 5, 3.0)]
+    train = rows(spark, [x for x in data if (x[0] * 31 + x[1]) % 5 and x[0] != 6000], RATED)
+    test = rows(spark, [x for x in data if not (x[0] * 31 + x[1]) % 5 or x[0] == 6000 or x[1] == 900], RATED)
+    pairs = recsys.overlap_pool(train, 12).localCheckpoint()
+    status = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: status.executorList(False).head().totalShuffleWrite()
+    sizes, got = [written()], []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        for made in (lambda: recsys.predict(train, test, recsys.pool_cosine(train, pairs), (1, 5, 12)), lambda: recsys.predict_by_pool(train, test, pairs, (1, 5, 12))):
+            got.append(sorted((r["n"], r["user"], r["item"], r["rating"], None if r["prediction"] is None else round(r["prediction"], 7)) for r in made().collect()))
+            sizes.append(written())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got[0] == got[1] and len(got[0]) == 3 * test.count()
+    assert [x[4] for x in got[1] if x[1] == 6000] == [None] * 3
+    assert 2 * (sizes[2] - sizes[1]) < sizes[1] - sizes[0]
