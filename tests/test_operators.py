@@ -450,3 +450,47 @@ def test_predictions_by_pool_match_joins(spark):
     assert got[0] == got[1] and len(got[0]) == 3 * test.count()
     assert [x[4] for x in got[1] if x[1] == 6000] == [None] * 3
     assert 2 * (sizes[2] - sizes[1]) < sizes[1] - sizes[0]
+
+
+def test_counts_as_bits_match_products():
+    """Rows of up to 255 items in common, where words of bits begin and end, in one piece and in many."""
+    from corvane.operators import blocks
+
+    rng = np.random.default_rng(15)
+
+    def block(first, n, names):
+        has = rng.random((n, len(names))) < 0.6
+        arrays = {"id": first + np.arange(n), "size": has.sum(axis=1).astype(np.int32), "names": np.array(names, np.int64), "code": np.nonzero(has)[1].astype(np.int32)}
+        return blocks.Block({k: blocks.pa.array(x) for k, x in arrays.items()})
+
+    for n in (0, 5, 64, 65, 129, 255, 256):
+        a, b = block(0, 101, [*range(n), 1000]), block(500, 207, [*range(n), 2000])
+        want = np.concatenate([x for *_, x in blocks.product(a, b)])
+        for step in (7, 500):
+            got = np.concatenate([x for *_, x in blocks._common_bits(blocks._bits(a, np.arange(n)), blocks._bits(b, np.arange(n)), step)]) if n < 256 else want
+            assert np.array_equal(got, want)
+        assert np.array_equal(blocks.places(want > 40), np.flatnonzero(want > 40))
+        kinds = {x.dtype for *_, x in blocks.product(a, b, True)}
+        assert kinds == {np.dtype(np.uint8 if n < 256 else np.float32)}
+
+
+def test_pool_where_few_and_many_items_are_shared(spark):
+    """A user of more items than a byte counts keeps its neighbours when later blocks are compared as bits."""
+    rng = np.random.default_rng(16)
+    data = [(u, i, 1.0) for u in range(8) for i in rng.choice(400, 330, replace=False)]
+    data += [(100 + u, int(i), 1.0) for u in range(4100) for i in rng.choice(60, rng.integers(1, 9), replace=False)]
+    train = rows(spark, [(int(u), int(i), r) for u, i, r in data], RATED)
+    want = recsys.overlap_pool(train, None).where("rk <= 5 and (u < 8 or u % 500 = 0)").select("u", "v", "overlap", "rk")
+    got = recsys.overlap_pool(train, 5).where("u < 8 or u % 500 = 0")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_ratings_parse_a_property_once(spark, tmp_path):
+    """Odd properties give no rating, as in SQL, and the plan has one parse of them."""
+    from corvane.plans import inputs
+
+    odd = [(1, 2.0, '{"k": 3}'), (1, 4.0, '{"k": 3}'), (2, 5.0, '{"k": null}'), (2, 5.0, "{}"), (3, 1.0, None), (4, None, '{"k": 1}'), (None, 1.0, '{"k": 1}')]
+    spark.createDataFrame(odd, "user_id bigint, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = inputs.ratings(spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == [(1, 3, 3.0)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == 1
