@@ -494,3 +494,38 @@ def test_ratings_parse_a_property_once(spark, tmp_path):
     got = inputs.ratings(spark, str(tmp_path))
     assert [tuple(r) for r in got.collect()] == [(1, 3, 3.0)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == 1
+
+
+def test_counts_in_pairs_match_sets():
+    """Rows of more cells than a byte counts, an odd number of dense ones, and parts of blocks."""
+    from corvane.operators import blocks
+
+    rng = np.random.default_rng(17)
+
+    def block(first, n, share):
+        has = rng.random((n, 1501)) < share
+        arrays = {"id": first + np.arange(n), "size": has.sum(axis=1).astype(np.int32), "names": np.arange(1501), "code": np.nonzero(has)[1].astype(np.int32)}
+        return has, blocks.Block({k: blocks.pa.array(x) for k, x in arrays.items()})
+
+    share = np.r_[np.full(701, 0.9), np.full(800, 0.02)]
+    (x, a), (y, b) = block(0, 203, share), block(500, 307, share)
+    want = x.astype(int) @ y.T.astype(int)
+    assert np.array_equal(np.concatenate([c for *_, c in blocks.product(a, b)]), want) and want.max() > 510
+    left, runs = blocks._paired(a, np.arange(701), (1, 256), True)
+    assert left.shape == (203, 351) and len(runs) > 2 and runs[-1][1] == 351
+    at, to = np.arange(0, 203, 3), np.arange(1, 307, 2)
+    assert np.array_equal(np.concatenate([c for *_, c in blocks.product(a.part(at), b.part(to))]), want[np.ix_(at, to)])
+    least = np.where(want > 0, 1 - want / (a.size[:, None] + b.size[None, :] - want), np.inf).min(axis=1)
+    assert (blocks.nearest_possible(a.size, a.known(b), b.size) <= least).all()
+
+
+def test_rows_that_cannot_be_near_do_not_meet(spark):
+    """Texts of two languages or of very different sizes are not multiplied where a distance is given; all near pairs are found."""
+    from corvane.operators import blocks
+
+    rng = np.random.default_rng(18)
+    data = [(i, [int(x) + i % 2 * 5000 for x in rng.choice(400, 20 if i % 4 < 2 else 200, replace=False)]) for i in range(4000)]
+    sets = rows(spark, data, "id bigint, cells array<bigint>").coalesce(1)
+    met = lambda **more: blocks.over_blocks(sets, lambda p: blocks.pa.table({"n": [len(p.l) * len(p.r)]}), "n bigint", **more).agg(F.sum("n")).first()[0]
+    assert met() == 4000**2
+    assert met(limit=lambda strip, *_: np.full(strip.rows, 0.8)) < 4000**2 / 3
