@@ -529,3 +529,25 @@ def test_rows_that_cannot_be_near_do_not_meet(spark):
     met = lambda **more: blocks.over_blocks(sets, lambda p: blocks.pa.table({"n": [len(p.l) * len(p.r)]}), "n bigint", **more).agg(F.sum("n")).first()[0]
     assert met() == 4000**2
     assert met(limit=lambda strip, *_: np.full(strip.rows, 0.8)) < 4000**2 / 3
+
+
+def test_links_of_groups_and_anchors_match_brute_force(spark, monkeypatch):
+    """The smallest distance of each cluster to each anchor, though later blocks are held against what is known."""
+    from corvane.operators import blocks
+
+    texts = noisy_texts(160)
+    want = distances(texts)
+    group = {i: i % 9 for i in range(len(texts))}
+    sets = similarity.with_shingles(rows(spark, list(enumerate(texts)), "id bigint, string string"))
+    placed = rows(spark, list(group.items()), "id bigint, cluster_id bigint")
+    least = {}
+    for (a, b), d in want.items():
+        if group[a] != group[b]:
+            key = group[a], group[b]
+            least[key] = min(d, least.get(key, 2.0))
+    for cells in (10**9, 400):
+        monkeypatch.setattr(blocks.over_blocks, "__defaults__", (None, cells))
+        assert {(r[0], r[1]): r[2] for r in cluster.min_link(sets, placed, 9).collect()} == least
+        got = similarity.linked_groups(sets.join(placed.withColumnRenamed("cluster_id", "group"), "id"), 0.3).collect()
+        part = lambda edges: sorted(map(tuple, cluster.components(spark.range(9), rows(spark, edges, "l bigint, r bigint")).collect()))
+        assert part([(r["l"], r["r"]) for r in got]) == part([k for k, d in least.items() if d <= 0.3])
