@@ -551,3 +551,20 @@ def test_links_of_groups_and_anchors_match_brute_force(spark, monkeypatch):
         got = similarity.linked_groups(sets.join(placed.withColumnRenamed("cluster_id", "group"), "id"), 0.3).collect()
         part = lambda edges: sorted(map(tuple, cluster.components(spark.range(9), rows(spark, edges, "l bigint, r bigint")).collect()))
         assert part([(r["l"], r["r"]) for r in got]) == part([k for k, d in least.items() if d <= 0.3])
+
+
+def test_copied_users_are_one_row_of_the_full_scan(spark, monkeypatch):
+    """Neighbours of copies, themselves among each other's, as from joins; the product has a row for each different user."""
+    rng = np.random.default_rng(19)
+    base = [(int(u), int(i), float(rng.choice((1.0, 2.0, 3.0)))) for u in range(24) for i in rng.choice(14, rng.integers(1, 11), replace=False)]
+    data = [(u + 24 * c, i, r) for u, i, r in base for c in (0, 5, 10, 15, 200)[: 1 + u % 5]]
+    part = [(u, i, r) for u, i, r in data if (u % 24 + i) % 4 == 0] + [(9000, 1, 1.0), (3, 77, 1.0)]
+    train, test = rows(spark, [x for x in data if x not in part], RATED), rows(spark, part, RATED)
+    met, whole = [], recsys.packed
+    monkeypatch.setattr(recsys, "packed", lambda x, *a, **b: met.append(x.count()) or whole(x, *a, **b))
+    exact = lambda x: sorted((r["user"], r["item"], r["rk"], r["v"], round(r["sim"], 8), round(r["dev"], 9)) for r in x.collect())
+    for k in (1, 4, 9):
+        got = exact(recsys.all_neighbours(train, test, k))
+        want = recsys.ranked_neighbours(train, test, recsys.centred_cosine(train, recsys.overlap_pool(train, None))).where(f"rk <= {k}")
+        assert got == exact(want) and len(got) > 25
+    assert met[0] <= 24
